@@ -111,7 +111,7 @@ def cluster_flashpoints(df: DataFrame, run: str = "run_id", max_rounds: int = 50
 
 def _spread_down(rows: DataFrame, links: DataFrame, run: str, max_rounds: int) -> DataFrame:
     labels = cut_lineage(
-        rows.select(run, "pos", F.when("opens", F.col("pos")).alias("cluster"))
+        rows.select(run, "pos", F.when(F.col("opens"), F.col("pos")).alias("cluster"))
     )
     for _ in range(max_rounds):
         named = links.join(labels, [run, "pos"])

@@ -58,7 +58,7 @@ def entity_combinations(
     day = lambda d: F.lit(f"{d:%Y-%m-%d}")
     n = F.size("entities")
     small = queries.where(n.between(1, MAX_COMBO_ENTITIES) & (F.size("countries") > 0))
-    bits = F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), n) - 1))
+    bits = F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), n).cast("int") - 1))
     subset = F.filter("entities", lambda _, i: F.getbit(F.col("bits"), i) == 1)
     pairs = (
         small.select("query_pos", "entities", "countries", bits.alias("bits"))

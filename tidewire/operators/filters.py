@@ -118,35 +118,30 @@ def matches_subscription(prefix: str = "sub_") -> Column:
     )
 
 
+MAX_SUBSCRIPTIONS = 20000  # subscriptions one task holds at a time
+
+
 def route_to_subscribers(articles: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(article, client) pairs whose filter matches; batch or stream on the left.
 
-    Each subscription becomes one element of a single array row, so articles
-    are read once and never shuffled. The array is kept to a checked size;
-    larger subscription tables are split by the caller on ``language``.
+    The subscriptions reach the articles as one array, so articles are read in
+    place and never shuffled. A table beyond ``MAX_SUBSCRIPTIONS`` is cut into
+    slices of that size by client, with one pass over the articles each.
     """
-    cols = [c for c in subscriptions.columns]
-    packed = F.broadcast(
-        subscriptions.agg(
-            F.collect_list(F.struct(*cols)).alias("subs"), F.lit(1).alias("one")
-        ).select(
-            F.when(F.size("subs") <= MAX_SUBSCRIPTIONS, F.col("subs"))
-            .otherwise(F.raise_error(F.lit("too many subscriptions for one routing table")))
-            .alias("subs"),
-            "one",
+    slices = max(1, -(-subscriptions.count() // MAX_SUBSCRIPTIONS))
+    cols = subscriptions.columns
+    out = None
+    for part in range(slices):
+        chosen = subscriptions.where(F.pmod(F.xxhash64("client"), F.lit(slices)) == part)
+        packed = chosen.agg(F.collect_list(F.struct(*cols)).alias("subs"))
+        hits = (
+            articles.withColumn("sub", F.explode(packed.scalar()))
+            .select("*", *[F.col(f"sub.{c}").alias(f"sub_{c}") for c in cols])
+            .drop("sub")
+            .where(matches_subscription())
         )
-    )
-    joined = articles.withColumn("one", F.lit(1)).join(packed, "one").drop("one")
-    return (
-        joined.withColumn("sub", F.explode("subs"))
-        .drop("subs")
-        .select("*", *[F.col(f"sub.{c}").alias(f"sub_{c}") for c in cols])
-        .drop("sub")
-        .where(matches_subscription())
-    )
-
-
-MAX_SUBSCRIPTIONS = 20000
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def stored(

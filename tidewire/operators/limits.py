@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -80,20 +80,15 @@ def sliding_window_decisions(
     marked = cut.join(hot, [client, "burst"]).drop("in_window", "within_limit")
     calm = marked.where("not hot").select(client, tie, ts, F.lit(True).alias("allowed"))
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken: deque = deque()
-        for rows in batches:
-            allowed = []
-            for now in rows[ts]:
-                while taken and (now - taken[0]).total_seconds() > seconds:
-                    taken.popleft()
-                ok = len(taken) < limit
-                if ok:
-                    taken.append(now)
-                allowed.append(ok)
-            yield rows[[client, tie, ts]].assign(allowed=allowed)
+    def accept(taken: deque, now: int) -> bool:
+        while taken and now - taken[0] > seconds * 1_000_000:
+            taken.popleft()
+        if len(taken) >= limit:
+            return False
+        taken.append(now)
+        return True
 
-    return calm.unionByName(_replayed(marked.where("hot"), replay, client, ts, tie))
+    return calm.unionByName(_replayed(marked.where("hot"), accept, client, ts, tie))
 
 
 def min_interval_decisions(
@@ -106,33 +101,44 @@ def min_interval_decisions(
     marked = cut.join(sizes, [source, "burst"])
     calm = marked.where("n = 1").select(source, tie, ts, F.lit(True).alias("allowed"))
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for rows in batches:
-            allowed = []
-            for now in rows[ts]:
-                ok = last is None or (now - last).total_seconds() >= gap
-                if ok:
-                    last = now
-                allowed.append(ok)
-            yield rows[[source, tie, ts]].assign(allowed=allowed)
+    def accept(last: deque, now: int) -> bool:
+        if last and now - last[0] < gap * 1_000_000:
+            return False
+        last.clear()
+        last.append(now)
+        return True
+
+    return calm.unionByName(_replayed(marked.where("n > 1"), accept, source, ts, tie))
 
-    return calm.unionByName(_replayed(marked.where("n > 1"), replay, source, ts, tie))
 
+def _replayed(rows: DataFrame, accept: Callable[[deque, int], bool], key: str, ts: str, tie: str) -> DataFrame:
+    """Ask ``accept`` for every row of each burst in time order.
 
-def _replayed(rows: DataFrame, fold, key: str, ts: str, tie: str) -> DataFrame:
-    """Run a fold over each burst, rows in time order and in bounded batches."""
+    Bursts are hashed over the partitions and sorted there; a partition is read
+    as a stream of batches, and only the accepted times of the current burst
+    are held.
+    """
     kt = rows.schema[key].dataType.simpleString()
     tt = rows.schema[tie].dataType.simpleString()
     ordered = (
-        rows.select(key, "burst", ts, tie)
+        rows.select(key, "burst", tie, ts, F.unix_micros(ts).alias("_us"))
         .repartition(key, "burst")
-        .sortWithinPartitions(key, "burst", ts, tie)
-    )
-    return ordered.groupBy(key, "burst").applyInPandas(
-        fold, f"{key} {kt}, {tie} {tt}, {ts} timestamp, allowed boolean"
+        .sortWithinPartitions(key, "burst", "_us", tie)
     )
 
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, state = None, deque()
+        for batch in batches:
+            allowed = []
+            for k, b, now in zip(batch[key], batch["burst"], batch["_us"]):
+                if (k, b) != here:
+                    here = (k, b)
+                    state.clear()
+                allowed.append(accept(state, now))
+            yield batch[[key, tie, ts]].assign(allowed=allowed)
+
+    return ordered.mapInPandas(replay, f"{key} {kt}, {tie} {tt}, {ts} timestamp, allowed boolean")
+
 
 def page(df: DataFrame, number: int, size: int = 50, created: str = "created_at", key: str = "id") -> DataFrame:
     """One page of the newest rows, each with the page facts.

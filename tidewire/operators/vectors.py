@@ -147,3 +147,12 @@ def hashed_embedding(df: DataFrame, text: str = "text", dims: int = 384) -> Data
         .withColumn("embedding", vector_to_array("_tf", "float32"))
         .drop("_words", "_tf")
     )
+
+
+def cross_reference(
+    queries: DataFrame, history: DataFrame, k: int = 5, threshold: float = 0.7, query_key: str = "query_id",
+) -> DataFrame:
+    """Number of similar historical rows (at most k) per current row."""
+    found = similar_per_query(queries, history, k, threshold, query_key)
+    counts = found.groupBy(query_key).agg(F.count("*").alias("similar_events"))
+    return queries.select(query_key).join(counts, query_key, "left").fillna({"similar_events": 0})

@@ -28,11 +28,9 @@ def store_day(
     """Replace the day's parents and children; a second run gives the same tables."""
     day = f"{as_of:%Y-%m-%d}"
     parents = sinks.stored_flashpoints(flashpoints, run_id, day)
-    children = sinks.stored_feeds(
-        entries.join(flashpoints.select("flashpoint_id", F.trim("title").alias("flashpoint_title")), "flashpoint_id"),
-        parents,
-        day,
-    )
+    titles = flashpoints.select("flashpoint_id", F.trim("title").alias("flashpoint_title"))
+    titled = entries.join(titles, "flashpoint_id").drop("flashpoint_id")
+    children = sinks.stored_feeds(titled, parents, day)
     out = {"flashpoint": f"{path}/flashpoint", "feed": f"{path}/feed"}
     sinks.replace_day(parents, out["flashpoint"])
     sinks.replace_day(children, out["feed"])

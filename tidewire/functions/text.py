@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -14,6 +14,11 @@ TITLE_CASE = (
 )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
     """Lower-case word tokens in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
@@ -78,9 +83,11 @@ def keywords(
 def categories(
     text: Column, words: Mapping[str, Sequence[str]] = fixed.CATEGORY_WORDS, limit: int = 3
 ) -> Column:
-    low = F.lower(text)
-    found = F.array(*[F.when(contains_any(low, ws), F.lit(name)) for name, ws in words.items()])
-    return F.slice(F.array_compact(found), 1, limit)
+    def found(low: Column) -> Column:
+        hits = F.array(*[F.when(contains_any(low, ws), F.lit(name)) for name, ws in words.items()])
+        return F.slice(F.array_compact(hits), 1, limit)
+
+    return bind(F.lower(text), found)
 
 
 def entity_candidates(text: Column) -> Column:
@@ -97,9 +104,15 @@ def entity_texts(entities: Column, labels: Sequence[str]) -> Column:
 def word_weight_mean(text: Column, weights: Mapping[str, float] = fixed.OPINION_WORDS) -> Column:
     """Mean weight of the opinion words of a text; 0 when it has none."""
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    hits = F.filter(words_of(text), lambda w: F.map_contains_key(table, w))
-    total = F.aggregate(hits, F.lit(0.0), lambda acc, w: acc + F.element_at(table, w))
-    return F.when(F.size(hits) > 0, total / F.size(hits)).otherwise(F.lit(0.0))
+    hits = F.filter(words_of(text), lambda w: w.isin(*weights))
+    return F.aggregate(
+        hits,
+        F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
+        lambda acc, w: F.struct(
+            (acc["sum"] + F.element_at(table, w)).alias("sum"), (acc["n"] + 1).alias("n")
+        ),
+        lambda acc: F.when(acc["n"] > 0, acc["sum"] / acc["n"]).otherwise(F.lit(0.0)),
+    )
 
 
 def word_weight_share(text: Column, weights: Mapping[str, float] = fixed.OPINION_WORDS) -> Column:
@@ -111,20 +124,27 @@ def guess_language(
     text: Column, lexicon: Mapping[str, Sequence[str]] = fixed.FUNCTION_WORDS
 ) -> Column:
     """Language whose function words occur most often; first listed wins a tie."""
-    tokens = words_of(text)
+    listed = sorted({w for ws in lexicon.values() for w in ws})
 
-    def hits(ws: Sequence[str]) -> Column:
-        return F.size(F.filter(tokens, lambda w: w.isin(*ws)))
+    def count(acc: Column, w: Column) -> Column:
+        return F.struct(
+            *[(acc[lang] + F.when(w.isin(*ws), 1).otherwise(0)).alias(lang) for lang, ws in lexicon.items()]
+        )
 
-    scored = F.array(
-        *[
-            F.struct(hits(ws).alias("n"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
-            for i, (lang, ws) in enumerate(lexicon.items())
+    def best(acc: Column) -> Column:
+        scored = [
+            F.struct(acc[lang].alias("n"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
+            for i, lang in enumerate(lexicon)
         ]
+        top = F.greatest(*scored)
+        return F.when(top["n"] > 0, top["lang"]).otherwise(F.lit("unknown"))
+
+    return F.aggregate(
+        F.filter(words_of(F.coalesce(text, F.lit(""))), lambda w: w.isin(*listed)),
+        F.struct(*[F.lit(0).alias(lang) for lang in lexicon]),
+        count,
+        best,
     )
-    best = F.array_max(scored)
-    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
-    return F.when(blank | (best["n"] == 0), F.lit("unknown")).otherwise(best["lang"])
 
 
 def language_code(name: Column, table: Mapping[str, str] = fixed.LANGUAGE_CODES) -> Column:

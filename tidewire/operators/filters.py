@@ -103,15 +103,16 @@ def matches_subscription(prefix: str = "sub_") -> Column:
 
     Empty or NULL lists and zero thresholds pass everything. Country and keyword
     tests are substring tests, category and language tests are membership tests.
+    ``_joined`` holds the article's joined keywords; subscription keywords are
+    lower case.
     """
     c = lambda n: F.col(prefix + n)
     free = lambda n: c(n).isNull() | (F.size(c(n)) == 0)
-    joined = joined_keywords(F.col("keywords"))
     floor = lambda col, n: (F.coalesce(c(n), F.lit(0.0)) == 0.0) | (F.col(col) >= c(n))
     return (
         (free("categories") | F.arrays_overlap(F.col("categories"), c("categories")))
         & (free("countries") | F.exists(c("countries"), lambda x: F.contains(F.col("country"), x)))
-        & (free("keywords") | F.exists(c("keywords"), lambda x: F.contains(joined, F.lower(x))))
+        & (free("keywords") | F.exists(c("keywords"), lambda x: F.contains(F.col("_joined"), x)))
         & floor("relevance", "min_relevance")
         & floor("quality", "min_quality")
         & (free("languages") | F.array_contains(c("languages"), F.col("language")))
@@ -129,16 +130,20 @@ def route_to_subscribers(articles: DataFrame, subscriptions: DataFrame) -> DataF
     slices of that size by client, with one pass over the articles each.
     """
     slices = max(1, -(-subscriptions.count() // MAX_SUBSCRIPTIONS))
+    lowered = F.transform("keywords", lambda k: F.lower(k))
+    subscriptions = subscriptions.withColumn("keywords", lowered)
     cols = subscriptions.columns
     out = None
     for part in range(slices):
         chosen = subscriptions.where(F.pmod(F.xxhash64("client"), F.lit(slices)) == part)
         packed = chosen.agg(F.collect_list(F.struct(*cols)).alias("subs"))
         hits = (
-            articles.withColumn("sub", F.explode(packed.scalar()))
+            articles.withColumn("_joined", joined_keywords(F.col("keywords")))
+            .withColumn("sub", F.explode(packed.scalar()))
             .select("*", *[F.col(f"sub.{c}").alias(f"sub_{c}") for c in cols])
             .drop("sub")
             .where(matches_subscription())
+            .drop("_joined")
         )
         out = hits if out is None else out.unionByName(hits)
     return out

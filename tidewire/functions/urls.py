@@ -26,7 +26,7 @@ def is_http(url: Column) -> Column:
 def feed_language(url: Column) -> Column:
     """``hl`` before its hyphen, else the second part of ``ceid``."""
     hl = F.try_parse_url(url, F.lit("QUERY"), F.lit("hl"))
-    ceid = F.url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit("ceid")))
+    ceid = F.try_url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit("ceid")))
     from_ceid = F.when(F.contains(ceid, F.lit(":")), F.split_part(ceid, F.lit(":"), F.lit(2)))
     return F.coalesce(F.split_part(hl, F.lit("-"), F.lit(1)), from_ceid)
 

@@ -204,11 +204,15 @@ def correlations(articles: DataFrame, min_rows: int = 10) -> DataFrame:
         F.size("entities").cast("double").alias("entity_count"),
         F.size("keywords").cast("double").alias("keyword_count"),
     )
+    def pearson(x: str, y: str) -> Column:
+        """NULL without variance; ``corr`` fails on it under ANSI rules."""
+        scale = F.stddev_pop(x) * F.stddev_pop(y)
+        return F.when(scale > 0, F.covar_pop(x, y) / scale)
+
     agg = rows.agg(
         F.count("*").alias("sample_size"),
-        *[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(CORRELATION_PAIRS)],
+        *[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(CORRELATION_PAIRS)],
     )
-    pairs = ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(CORRELATION_PAIRS))
     return agg.where(F.col("sample_size") >= min_rows).select(
         "sample_size",
         F.expr(

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewire.operators.scans import earlier
+from tidewire.session import cut_lineage
 
 
 def window_counts(
@@ -55,9 +56,8 @@ def bursts(requests: DataFrame, client: str, ts: str, gap: float, width: int = 3
     micros, step = F.col("_us"), int(width * 1e6)
     timed = requests.withColumn("_us", F.unix_micros(ts))
     prev = earlier(timed, [client], "_us", "_us", "max", "_prev", step)
-    starts = prev.withColumn(
-        "_start", F.when(F.col("_prev").isNull() | (micros - F.col("_prev") >= gap * 1e6), micros)
-    )
+    new = F.col("_prev").isNull() | (micros - F.col("_prev") >= gap * 1e6)
+    starts = cut_lineage(prev.withColumn("_start", F.when(new, micros)))
     back = earlier(starts, [client], "_us", "_start", "max", "_last", step)
     return back.withColumn("burst", F.coalesce("_start", "_last")).drop(
         "_us", "_prev", "_start", "_last"
@@ -74,10 +74,14 @@ def sliding_window_decisions(
     each other. Stretches without any over-full window are accepted as a set;
     only the others are replayed, streamed in order with ``limit`` times kept.
     """
-    counted = window_counts(requests, client, ts, tie, seconds, limit).drop("remaining", "reset_at")
-    cut = bursts(counted, client, ts, seconds)
+    counted = cut_lineage(
+        window_counts(requests.select(client, tie, ts), client, ts, tie, seconds, limit).drop(
+            "remaining", "reset_at", "in_window"
+        )
+    )
+    cut = cut_lineage(bursts(counted, client, ts, seconds))
     hot = cut.groupBy(client, "burst").agg(F.bool_or(~F.col("within_limit")).alias("hot"))
-    marked = cut.join(hot, [client, "burst"]).drop("in_window", "within_limit")
+    marked = cut.join(hot, [client, "burst"]).drop("within_limit")
     calm = marked.where("not hot").select(client, tie, ts, F.lit(True).alias("allowed"))
 
     def accept(taken: deque, now: int) -> bool:
@@ -96,7 +100,7 @@ def min_interval_decisions(
 ) -> DataFrame:
     """Exact decision per request: at least ``60 / per_minute`` seconds since the last accepted one."""
     gap = 60.0 / per_minute
-    cut = bursts(requests, source, ts, gap)
+    cut = cut_lineage(bursts(cut_lineage(requests.select(source, tie, ts)), source, ts, gap))
     sizes = cut.groupBy(source, "burst").agg(F.count("*").alias("n"))
     marked = cut.join(sizes, [source, "burst"])
     calm = marked.where("n = 1").select(source, tie, ts, F.lit(True).alias("allowed"))

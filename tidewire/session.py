@@ -51,9 +51,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder, so that it survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` below the shared checkpoint folder and read it back.
+
+    Later steps then start from files that outlive executors. A table rather
+    than an RDD checkpoint, because its scan knows its size and prunes columns,
+    so joins with a small step result can be planned as such.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -79,3 +79,22 @@ def test_hot_url_is_combined_before_the_shuffle(spark):
     plan = dedup.first_per_url(df)._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan
     assert dedup.first_per_url(df).where("url = 'hot'").first()["pos"] == 0
+
+
+def test_top_k_limits_before_the_shuffle(spark):
+    from tidewire.operators.scans import top_k
+
+    df = spark.range(20000).select((F.col("id") % 3).alias("k"), "id")
+    plan = top_k(df, ["k"], 5000, F.col("id"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning") < plan.rindex("WindowGroupLimit")
+
+
+@pytest.mark.parametrize("width", [2, 50, 5000])
+def test_position_equals_row_number(spark, width):
+    rnd = random.Random(width)
+    rows = [(rnd.choice("aab"), rnd.randrange(100), i) for i in range(200)]
+    from tidewire.operators.scans import position
+
+    got = position(spark.createDataFrame(rows, "k string, o long, t long"), ["k"], "o", "t", width=width).collect()
+    for r in got:
+        assert r["position"] == 1 + sum(k == r["k"] and (o, t) < (r["o"], r["t"]) for k, o, t in rows)

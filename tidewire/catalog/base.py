@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewire import fixed
 from tidewire.functions import text as tx
-from tidewire.session import use_utc
+from tidewire.session import use_settings
 
 AS_OF = datetime(2024, 1, 31)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None, views: str = ""):
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Tables(use_utc(spark), sf_dir))
+            return fn(Tables(use_settings(spark), sf_dir))
 
         run.__name__ = name
         QUERIES[name] = run

@@ -90,7 +90,34 @@ def top_k(df: DataFrame, keys: Sequence[str], k: int, *order: Column) -> DataFra
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def chunk_number(df: DataFrame, keys: Sequence[str], size: int, *order: str) -> DataFrame:
+def position(
+    df: DataFrame, keys: Sequence[str], order: str, tie: str, name: str = "position", width: int = 3600
+) -> DataFrame:
+    """Add ``name``: 1-based place of a row inside its key by (order, tie).
+
+    Rows are numbered inside buckets of ``order``; the bucket sizes, summed up
+    per key, give the offset.
+    """
+    cut = df.withColumn("_b", _bucket(order, width))
+    upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        cut.groupBy(*keys, "_b")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+        .drop("_n")
+    )
+    inner = W.partitionBy(*keys, "_b").orderBy(order, tie)
+    return (
+        cut.withColumn("_r", F.row_number().over(inner))
+        .join(offsets, [*keys, "_b"])
+        .withColumn(name, F.col("_before") + F.col("_r"))
+        .drop("_b", "_r", "_before")
+    )
+
+
+def chunk_number(
+    df: DataFrame, keys: Sequence[str], size: int, order: str, tie: str, width: int = 3600
+) -> DataFrame:
     """Add ``chunk``: number of the batch of ``size`` rows inside the key."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn("chunk", F.floor(rank / size).cast("long"))
+    placed = position(df, keys, order, tie, "_place", width)
+    return placed.withColumn("chunk", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")

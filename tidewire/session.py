@@ -9,6 +9,14 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
+RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Top-k filters are also applied before the shuffle for large k.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000000",
+}
+
+
 def get_session(app: str = "tidewire", master: str | None = None, **conf: str) -> SparkSession:
     """Build a session with the settings the operators expect.
 
@@ -19,11 +27,10 @@ def get_session(app: str = "tidewire", master: str | None = None, **conf: str) -
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **RUNTIME_SETTINGS,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
     }
@@ -33,10 +40,10 @@ def get_session(app: str = "tidewire", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Pin the session settings that change results, whoever built the session."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+def use_settings(spark: SparkSession) -> SparkSession:
+    """Pin the settings the operators rely on, whoever built the session."""
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
     return spark
 
 

@@ -44,7 +44,7 @@ def test_query_history_equals_contains(spark, seed):
     rnd = random.Random(seed)
     words = ["ab", "abc", "oil", "war", "a", "über", "x-y"]
     text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
-    q = [(i, text(rnd.randint(1, 4))) for i in range(30)] + [(98, "B"), (99, "")]
+    q = [(i, text(rnd.randint(1, 4))) for i in range(30)] + [(97, "-"), (98, "B"), (99, "")]
     h = [(i, text(rnd.randint(1, 9)).upper()) for i in range(60)]
     got = resolve.query_history(
         spark.createDataFrame(q, "qid long, query string"), spark.createDataFrame(h, "hid long, query string")

@@ -54,6 +54,12 @@ def test_third_row_joins_first_cluster_only(spark):
     assert got[1]["entities"] == ["c"]
 
 
+def test_long_chain_settles_in_few_rounds(spark):
+    rows = [(1, i, [f"e{i}", f"e{i + 1}"], True) for i in range(150)]
+    got = dedup.cluster_flashpoints(frame(spark, rows), max_rounds=12).groupBy("cluster").count().collect()
+    assert [tuple(r) for r in got] == [(0, 150)]
+
+
 def test_repeated_combination_is_rejected(spark):
     rows = [(1, 0, ["a"], True), (1, 1, ["A"], True), (1, 2, ["A", "z"], True)]
     got = {r["pos"]: r["cluster"] for r in dedup.cluster_flashpoints(frame(spark, rows)).collect()}

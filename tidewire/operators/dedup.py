@@ -117,10 +117,14 @@ def _spread_down(rows: DataFrame, links: DataFrame, run: str, max_rounds: int) -
         named = links.join(labels, [run, "pos"])
         seen = earlier(named, [run, "entity"], "pos", "cluster", "min", "low", 4096)
         low = seen.groupBy(run, "pos").agg(F.min("low").alias("low"))
+        # A label is the position of a row, and that row's own label is reachable
+        # too; taking it doubles the distance covered per round.
+        jump = labels.select(run, F.col("pos").alias("cluster"), F.col("cluster").alias("jump"))
         moved = cut_lineage(
-            labels.join(low, [run, "pos"], "left").select(
-                run, "pos", F.col("cluster").alias("old"), F.least("cluster", "low").alias("cluster")
-            )
+            labels.join(low, [run, "pos"], "left")
+            .select(run, "pos", F.col("cluster").alias("old"), F.least("cluster", "low").alias("cluster"))
+            .join(jump, [run, "cluster"], "left")
+            .select(run, "pos", "old", F.least("cluster", "jump").alias("cluster"))
         )
         stable = not moved.where(~F.col("old").eqNullSafe(F.col("cluster"))).take(1)
         labels = moved.drop("old")
@@ -175,10 +179,8 @@ def entity_components(df: DataFrame, run: str = "run_id", max_rounds: int = 30)
         spread = labels.join(low_row, [run, "pos"], "left").select(
             run, "pos", "component", F.least("component", F.coalesce("low", "component")).alias("low")
         )
-        # A row also takes the label its own label row has reached, which halves long chains.
-        parent = spread.select(
-            run, F.col("pos").alias("low"), F.col("low").alias("jump")
-        )
+        # A row also takes the label of its label's row, which halves long chains.
+        parent = labels.select(run, F.col("pos").alias("low"), F.col("component").alias("jump"))
         moved = cut_lineage(
             spread.join(parent, [run, "low"], "left").select(
                 run, "pos", F.col("component").alias("old"),

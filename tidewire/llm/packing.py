@@ -34,7 +34,7 @@ def encode_documents(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
-        end, size = enc._pack([end_id]), len(enc.after_blank)
+        end, size = enc.pack([end_id]), enc.vocab_size
         counts = np.zeros(size, dtype=np.int64)
         for batch in batches:
             texts = batch["text"].tolist()
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sha
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
-        idf = np.zeros(len(enc.after_blank))
+        idf = np.zeros(enc.vocab_size)
         idf[list(idf_bytes.value)] = list(idf_bytes.value.values())
         out = Windows(size, TaskContext.get().partitionId() << 40)
         names, held, n_ids = [], [], 0

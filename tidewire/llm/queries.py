@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewire.llm.fingerprints import fingerprints_with_edits
 from tidewire.llm.packing import pack
+from tidewire.llm.quality_rules import quality_verdicts
 from tidewire.llm.simhash import near_duplicate_classes
 from tidewire.llm.token_files import read_token_files, write_token_files
 from tidewire.llm.word_bpe import encode_and_decode
@@ -37,6 +39,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *counts, "base_failed", "kept", "failed_rule")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -47,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
+    "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
+    "op8_quality_rules": op8_quality_rules,
 }
 ORACLES: dict[str, str] = {}

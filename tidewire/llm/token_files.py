@@ -93,7 +93,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
-        end = enc._pack([end_id])
+        end = enc.pack([end_id])
         part, seq, held, ids, names = TaskContext.get().partitionId(), 0, 0, [], []
 
         def closed() -> pd.DataFrame:

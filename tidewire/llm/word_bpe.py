@@ -17,19 +17,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidewire.llm.tokens import byte_symbols
+
 #: Cached pieces per worker process; beyond it the cache starts anew (about 200 MB).
 CACHE_PIECES = 600_000
 WORD_END = "</w>"
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that byte-level vocabularies use for each byte value."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in set(keep) else chr(next(spare)) for b in range(256)]
-
-
 class WordBpe:
     """A word-level BPE tokenizer file: NFC, blanks, lower case; words; bytes; merges with word ends."""
 

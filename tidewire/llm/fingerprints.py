@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidewire.llm.arrays import positions, words
 
 #: Words of a k-mer, k-mers of a tuple, tuples of a fingerprint (a power of two).
-KMER, TUPLE, UNITS = 3, 3, 32
+KMER, TUPLE, UNITS = 3, 2, 32
 
 
 def order_minhash(text: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewire.llm.fingerprints import fingerprints_with_edits
+from tidewire.llm.ngram_quality import classify
 from tidewire.llm.packing import pack
 from tidewire.llm.quality_rules import quality_verdicts
 from tidewire.llm.simhash import near_duplicate_classes
@@ -55,6 +56,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark.read.parquet(path))
 
 
+def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
@@ -62,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
+    "op10_ngram_quality": op10_ngram_quality,
 }
 ORACLES: dict[str, str] = {}

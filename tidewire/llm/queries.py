@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewire.llm.fingerprints import fingerprints_with_edits
 from tidewire.llm.ngram_quality import classify
 from tidewire.llm.packing import pack
+from tidewire.llm.pii import KINDS, find_personal_data, written
 from tidewire.llm.quality_rules import quality_verdicts
 from tidewire.llm.simhash import near_duplicate_classes
 from tidewire.llm.token_files import read_token_files, write_token_files
@@ -40,6 +41,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)],
+        F.sha2(F.encode(written(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
@@ -64,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
+    "op5_personal_data": op5_personal_data,
     "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,

@@ -1,11 +1,64 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewire.llm.ngram_quality import keep_good
+from tidewire.llm.packing import pack
+from tidewire.llm.pii import redact
+from tidewire.llm.quality_rules import keep_passing
+from tidewire.llm.queries import table, vocabulary
+from tidewire.llm.simhash import keep_one_per_class
+from tidewire.session import shared_folder, use_settings
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within the limits of their language's trusted text."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the cascade of rules."""
+    use_settings(spark)
+    return keep_passing(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal or near SimHash fingerprints."""
+    use_settings(spark)
+    return keep_one_per_class(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    use_settings(spark)
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 ids."""
+    use_settings(spark)
+    return pack(docs, vocabulary("byte_bpe_50k.json"), size=2048, end_id=1)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("simhash near-dedup", near_duplicates),
+    ("personal data", personal_data),
+    ("packing", packing),
+]
+
+#: SQL cannot express fingerprints of shingles, language-model training or packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    """Apply all stages to the documents table."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the documents table; the rows of the last one."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        path = shared_folder(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -160,33 +160,69 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumns({"n_symbols": F.length(whole).cast("long"), "surprise": surprise(whole)})
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, limit and kept for every row of ``docs`` (doc_id, text, lang).
+#: Rows of limits (one per language) up to which they are sent to all tasks.
+FEW_LANGUAGES = 10_000
+
+
+@dataclass
+class Classifier:
+    """A model, the limits by language (of, low, spread) and the same of all languages."""
+
+    model: Model
+    limits: DataFrame
+    low: float
+    spread: float
+
+    def judge(self, docs: DataFrame) -> DataFrame:
+        """Add n_symbols, surprise, limit (of the surprise) and kept to the rows of ``docs`` (text, lang); no shuffle."""
+        return self.compare(score(docs, self.model))
+
+    def compare(self, scored: DataFrame) -> DataFrame:
+        few = self.limits.count() <= FEW_LANGUAGES
+        limits = F.broadcast(self.limits) if few else self.limits
+        joined = scored.join(limits, F.col("lang") == F.col("_of"), "left")
+        scatter = F.lit(SLACK) / F.sqrt(F.greatest("n_symbols", F.lit(1)))
+        limit = F.coalesce("_low", F.lit(self.low)) + F.greatest(F.coalesce("_spread", F.lit(self.spread)) * SPREAD, scatter)
+        kept = F.coalesce(F.col("surprise") <= F.col("limit"), F.lit(False))
+        return joined.withColumn("limit", limit).withColumn("kept", kept).drop("_of", "_low", "_spread")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame]:
+    """The classifier, and the scores (doc_id, lang, n_symbols, surprise) of all rows of ``docs``.
 
     Trusted are the documents labelled quality 1 and not toxic, all of them; repeated labels count
     once. Limits come from quantiles of the trusted documents' surprise in each language; languages
-    without trusted documents, and null, use those of all. Empty and null texts are not kept.
-    Without any trusted document the model is uniform and keeps all but empty texts.
+    without trusted documents, and null, use those of all. Without any trusted document the model is
+    uniform and no limit holds.
     """
-    trusted_ids = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang"))
-    training = rows.where("text is not null and text != ''").join(trusted_ids, "doc_id", "left_semi").select("text")
-    model = train(training)
+    trusted = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
+    rows = docs.select("doc_id", "text", "lang")
+    model = train(rows.where("text is not null and text != ''").join(trusted, "doc_id", "left_semi").select("text"))
     scored = cut_lineage(score(rows, model).select("doc_id", "lang", "n_symbols", "surprise"))
-    known = scored.join(trusted_ids, "doc_id", "left_semi").where("surprise is not null")
-    cuts = F.percentile_approx("surprise", [0.5, QUANTILE], 10000).alias("q")
-    by_lang = known.groupBy(F.col("lang").alias("of")).agg(cuts).where("of is not null")
-    of_all = known.agg(cuts).first()[0] or [float("inf"), float("inf")]
-    q = lambda i: F.coalesce(F.col("q")[i], F.lit(float(of_all[i])))
-    # One row per language of the trusted documents.
-    joined = scored.join(by_lang, F.col("lang") == F.col("of"), "left")
-    slack = F.greatest(SPREAD * (q(1) - q(0)), SLACK / F.sqrt(F.greatest("n_symbols", F.lit(1))))
-    limit = F.when(F.lit(of_all[0] == float("inf")), F.lit(float("inf"))).otherwise(q(0) + slack)
-    return joined.select(
-        "doc_id",
-        "lang",
-        "n_symbols",
-        F.exp("surprise").alias("perplexity"),
-        F.exp(limit).alias("limit"),
-        F.coalesce(F.col("surprise") <= limit, F.lit(False)).alias("kept"),
+    known = scored.where("surprise is not null").join(trusted, "doc_id", "left_semi")
+    cuts = F.percentile_approx("surprise", [0.5, QUANTILE], 10000)
+    low, high = known.agg(cuts).first()[0] or (float("inf"), float("inf"))
+    limits = (
+        known.where("lang is not null").groupBy(F.col("lang").alias("_of")).agg(cuts.alias("q"))
+        .select("_of", F.col("q")[0].alias("_low"), (F.col("q")[1] - F.col("q")[0]).alias("_spread"))
+    )
+    spread = high - low if high < float("inf") else 0.0
+    return Classifier(model, cut_lineage(limits), low, spread), scored
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity, limit and kept for every row of ``docs`` (doc_id, text, lang).
+
+    Empty and null texts have no perplexity and are not kept.
+    """
+    classifier, scored = fit(docs, labels)
+    return classifier.compare(scored).select(
+        "doc_id", "lang", "n_symbols", F.exp("surprise").alias("perplexity"), F.exp("limit").alias("limit"), "kept"
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier fitted on them keeps, with their columns."""
+    classifier, _ = fit(docs, labels)
+    judged = classifier.judge(docs.select(F.struct("*").alias("_doc"), "text", "lang"))
+    return judged.where("kept").select("_doc.*")

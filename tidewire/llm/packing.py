@@ -44,7 +44,7 @@ def encode_documents(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1
                 places = []
                 for one in data:
                     ids = np.frombuffer(one, enc.dtype)
-                    counts[np.flatnonzero(np.bincount(ids, minlength=1))] += 1
+                    counts[np.unique(ids)] += 1
                     pairs = ids[:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + ids[1:]
                     mixed = (pairs ^ (pairs >> np.uint32(15))) * np.uint32(0x85EBCA6B)
                     places.append(int(mixed.min() >> np.uint32(1)) if len(pairs) else 0)

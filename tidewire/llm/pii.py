@@ -227,3 +227,30 @@ def written(spans: Column) -> Column:
         ",",
         F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))),
     )
+
+
+def redact(docs: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
+    """The rows of ``docs`` with each span of personal data in text replaced by its kind in brackets.
+
+    Overlapping spans are replaced by one name, the first one's. n_chars, where there is such a
+    column, is set anew for changed texts. The rows get a number and are written once, so that spans
+    and texts meet again; rows without spans pass as they are.
+    """
+    held = cut_lineage(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("doc_id")))
+    found = find_personal_data(held.select("doc_id", F.col("_doc.text").alias("text")), settings)
+    by_start = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+    spans = found.where(F.size("spans") > 0).select("doc_id", F.sort_array(F.transform("spans", by_start)).alias("s"))
+    text, s = F.col("_doc.text"), F.col("s")
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+
+    def replace(a: Column, x: Column) -> Column:
+        gap = F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))
+        grown = F.when(x["start"] >= a["at"], F.concat(a["out"], gap, F.get(names, x["kind"]))).otherwise(a["out"])
+        return F.struct(grown.alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
+
+    joined = held.join(spans, "doc_id", "left")
+    clean = F.aggregate(s, zero, replace, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    redone = joined.select(F.struct(F.col("_doc"), F.when(s.isNull(), text).otherwise(clean).alias("t")).alias("x"), s.isNotNull().alias("c"))
+    out = {"text": F.col("x.t"), "n_chars": F.when(F.col("c"), F.length("x.t").cast("long")).otherwise(F.col("x._doc.n_chars")) if "n_chars" in docs.columns else None}
+    return redone.select(*[out[c].alias(c) if out.get(c) is not None else F.col("x._doc")[c].alias(c) for c in docs.columns])

@@ -151,3 +151,9 @@ def quality_verdicts(docs: DataFrame, text: str = "text") -> DataFrame:
     order = [named[rule.name] for rule in rule_order(docs, text)]
     judged = cascade(counted, order).withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+
+
+def keep_passing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass all rules, with their columns."""
+    judged = quality_verdicts(docs.select(F.struct("*").alias("_doc"), "text"))
+    return judged.where("kept").select("_doc.*")

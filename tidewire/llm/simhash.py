@@ -48,16 +48,21 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
+def with_fingerprint(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """The rows of ``docs`` with _fp, the fingerprint of text as a signed long (null text: empty)."""
+
+    @F.pandas_udf("long")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+
+    return docs.withColumn("_fp", prints(F.coalesce("text", F.lit(""))))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and the fingerprint of its text as a signed long (null text: empty)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fp": prints.view(np.int64)})
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_fingerprint(rows, shingle).select("doc_id", F.col("_fp").alias("fp"))
 
 
 def fuzzy_keys(fps: DataFrame) -> DataFrame:
@@ -106,11 +111,13 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     """
     spark = distinct.sparkSession
     keys = cut_lineage(fuzzy_keys(distinct))
-    heads = keys.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).where("head < last")
-    shared = cut_lineage(keys.join(heads.select("key", "head"), "key"))
+    heads = keys.groupBy("key").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1")
+    # A bucket of two is settled by the comparison with its head, so of these only links go on.
+    to_head = (keys["key"] == heads["key"]) & ((F.col("n") > 2) | near(F.col("fp"), F.col("head")))
+    shared = cut_lineage(keys.join(heads, to_head).select(heads["key"], "fp", "head", "n"))
     star = shared.where((F.col("fp") != F.col("head")) & near(F.col("fp"), F.col("head")))
     labels = min_components(star.select(F.col("head").alias("a"), F.col("fp").alias("b")))
-    labelled = shared.join(labels, F.col("fp") == F.col("node"), "left").select(
+    labelled = shared.where("n > 2").join(labels, F.col("fp") == F.col("node"), "left").select(
         "key", "fp", F.coalesce("root", "fp").alias("label")
     )
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
@@ -145,3 +152,29 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 4) -> DataFrame:
     names = distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = roots.join(names, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one_per_class(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """One row of each near-duplicate class, with the columns of ``docs``: the smallest doc_id, else by text hash.
+
+    Of rows equal in doc_id and text one stays. The rows are written once with their fingerprint; the
+    classes are found on fingerprints, the chosen row of a class is a minimum over small columns, and
+    only then the chosen rows' texts are joined.
+    """
+    rows = docs.select(
+        F.struct("*").alias("_doc"),
+        "text",
+        F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"),
+        F.col("doc_id").isNull().alias("_no_id"),
+        F.xxhash64("text").alias("_hash"),
+    )
+    marked = cut_lineage(with_fingerprint(rows, shingle).drop("text"))
+    roots = link_fingerprints(cut_lineage(marked.select(F.col("_fp").alias("fp")).distinct()))
+    key = ["_no_id", "_id", "_hash"]
+    best = (
+        marked.groupBy("_fp").agg(F.min(F.struct(*key)).alias("k"))
+        .join(roots, F.col("_fp") == F.col("fp"))
+        .groupBy("root").agg(F.min("k").alias("k"))
+        .select("k.*")
+    )
+    return marked.join(best, key).dropDuplicates(key).select("_doc.*")

@@ -197,7 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame]:
     """
     trusted = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
     rows = docs.select("doc_id", "text", "lang")
-    model = train(rows.where("text is not null and text != ''").join(trusted, "doc_id", "left_semi").select("text"))
+    # Both sides grow with the corpus, so the join is dealt by doc_id at every size.
+    training = rows.where("text is not null and text != ''").join(trusted.hint("merge"), "doc_id", "left_semi")
+    model = train(training.select("text"))
     scored = cut_lineage(score(rows, model).select("doc_id", "lang", "n_symbols", "surprise"))
     known = scored.where("surprise is not null").join(trusted, "doc_id", "left_semi")
     cuts = F.percentile_approx("surprise", [0.5, QUANTILE], 10000)

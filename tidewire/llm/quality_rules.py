@@ -156,4 +156,6 @@ def quality_verdicts(docs: DataFrame, text: str = "text") -> DataFrame:
 def keep_passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass all rules, with their columns."""
     judged = quality_verdicts(docs.select(F.struct("*").alias("_doc"), "text"))
-    return judged.where("kept").select("_doc.*")
+    # A random column keeps the filter where it is. Pushed down, it would repeat the whole computation
+    # of the counts once for every mention of them.
+    return judged.select("_doc", "kept", F.rand().alias("_here")).where("kept and _here >= 0").select("_doc.*")

@@ -111,10 +111,10 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     """
     spark = distinct.sparkSession
     keys = cut_lineage(fuzzy_keys(distinct))
-    heads = keys.groupBy("key").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = keys.groupBy(F.col("key").alias("of")).agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1")
     # A bucket of two is settled by the comparison with its head, so of these only links go on.
-    to_head = (keys["key"] == heads["key"]) & ((F.col("n") > 2) | near(F.col("fp"), F.col("head")))
-    shared = cut_lineage(keys.join(heads, to_head).select(heads["key"], "fp", "head", "n"))
+    to_head = (F.col("key") == F.col("of")) & ((F.col("n") > 2) | near(F.col("fp"), F.col("head")))
+    shared = cut_lineage(keys.join(heads, to_head).select("key", "fp", "head", "n"))
     star = shared.where((F.col("fp") != F.col("head")) & near(F.col("fp"), F.col("head")))
     labels = min_components(star.select(F.col("head").alias("a"), F.col("fp").alias("b")))
     labelled = shared.where("n > 2").join(labels, F.col("fp") == F.col("node"), "left").select(

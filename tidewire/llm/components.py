@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidewire.session import cut_lineage
 
 
-def _flatten(hooks: DataFrame) -> DataFrame:
+def flatten(hooks: DataFrame) -> DataFrame:
     """(node, up) with up < node or a root: replace up by the root above it, doubling the reach each round."""
     while True:
         above = hooks.select(F.col("node").alias("up"), F.col("up").alias("higher"))
@@ -33,7 +33,7 @@ def min_components(edges: DataFrame) -> DataFrame:
     labels = cut_lineage(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
     live = both.where("a != b")
     while live.take(1):
-        hooks = _flatten(
+        hooks = flatten(
             cut_lineage(live.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("up")))
         )
         to = hooks.select(F.col("node").alias("root"), F.col("up"))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewire.llm.chat import link_quotations
 from tidewire.llm.fingerprints import fingerprints_with_edits
+from tidewire.llm.html_extract import extract
 from tidewire.llm.ngram_quality import classify
 from tidewire.llm.packing import pack
 from tidewire.llm.pii import KINDS, find_personal_data, written
@@ -28,6 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), size=2048, end_id=1)
 
@@ -68,11 +74,16 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark.read.parquet(path))
 
 
+def op9_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
@@ -80,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
+    "op9_chat_quotes": op9_chat_quotes,
     "op10_ngram_quality": op10_ngram_quality,
 }
 ORACLES: dict[str, str] = {}

@@ -18,8 +18,9 @@ SYMBOLS = 42
 #: Length of the n-grams; the model has at most SYMBOLS ** ORDER entries (3.1 million), whatever the corpus.
 ORDER = 4
 #: Reject where the mean surprise is over median + SPREAD * (QUANTILE - median) of the language's trusted
-#: documents, and by at least SLACK / sqrt(symbols), as short texts scatter.
-QUANTILE, SPREAD, SLACK = 0.9, 6.0, 6.0
+#: documents, and by at least SLACK / sqrt(symbols), as short texts scatter, and MARGIN, as a model of few
+#: documents knows these better than others.
+QUANTILE, SPREAD, SLACK, MARGIN = 0.9, 6.0, 6.0, 0.6
 _KNOWN = 0x3000
 
 
@@ -182,7 +183,8 @@ class Classifier:
         limits = F.broadcast(self.limits) if few else self.limits
         joined = scored.join(limits, F.col("lang") == F.col("_of"), "left")
         scatter = F.lit(SLACK) / F.sqrt(F.greatest("n_symbols", F.lit(1)))
-        limit = F.coalesce("_low", F.lit(self.low)) + F.greatest(F.coalesce("_spread", F.lit(self.spread)) * SPREAD, scatter)
+        room = F.greatest(F.coalesce("_spread", F.lit(self.spread)) * SPREAD, scatter, F.lit(MARGIN))
+        limit = F.coalesce("_low", F.lit(self.low)) + room
         kept = F.coalesce(F.col("surprise") <= F.col("limit"), F.lit(False))
         return joined.withColumn("limit", limit).withColumn("kept", kept).drop("_of", "_low", "_spread")
 

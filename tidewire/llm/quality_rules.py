@@ -58,13 +58,18 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": (F.length(whole) - F.length(without_chars(whole, SYMBOLS))).cast("long"),
         }
     )
-    return first.withColumns(
+    counted = first.withColumns(
         {
             "n_words": F.size("_hashes").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": repeated_words(F.col("_hashes"), F.size("_hashes")),
+            "_here": F.rand(),
         }
-    ).drop("_hashes", "_lines")
+    )
+    # Filters on the counts, or on verdicts built on them, must stay above this step: pushed down,
+    # they would repeat the whole computation once for every mention. A random column holds them.
+    held = {c: F.when(F.col("_here") >= 0, F.col(c)) for c in ("n_words", "n_dup_lines", "n_repeat_words")}
+    return counted.withColumns(held).drop("_hashes", "_lines", "_here")
 
 
 @dataclass(frozen=True)
@@ -155,7 +160,4 @@ def quality_verdicts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def keep_passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass all rules, with their columns."""
-    judged = quality_verdicts(docs.select(F.struct("*").alias("_doc"), "text"))
-    # A random column keeps the filter where it is. Pushed down, it would repeat the whole computation
-    # of the counts once for every mention of them.
-    return judged.select("_doc", "kept", F.rand().alias("_here")).where("kept and _here >= 0").select("_doc.*")
+    return quality_verdicts(docs.select(F.struct("*").alias("_doc"), "text")).where("kept").select("_doc.*")

@@ -90,6 +90,9 @@ def test_sanitize(one):
         ("{k: 4}", 4),
         ("{'k': 5}", 5),
         ("Answer:\n{'k': 6,} bye", 6),
+        ('{"s": "a, ]x: \'y\' : z,}", "k": 7,}', 7),
+        ("{s: 'it: \"so\", }', k: 8,\n}\nDone.", 8),
+        ('{"k": 9', None),
         ("no json", None),
     ],
 )

@@ -114,3 +114,14 @@ def test_subscription_slices_agree(spark, monkeypatch):
     monkeypatch.setattr(filters, "MAX_SUBSCRIPTIONS", 3)
     cut = sorted((r["id"], r["sub_client"]) for r in filters.route_to_subscribers(arts, subs).collect())
     assert whole == cut == sorted((a, c) for a in range(40) for c in range(11) if a % 3 == c % 3 and a % 4 == c % 4)
+
+
+def test_combinations_of_eleven_entities(spark):
+    from datetime import datetime
+
+    from tidewire.operators.expansion import entity_combinations
+
+    names = [f"e{i}" for i in range(11)]
+    q = spark.createDataFrame([(1, names, ["France"])], "query_pos long, entities array<string>, countries array<string>")
+    got = entity_combinations(q, datetime(2024, 1, 31))
+    assert got.count() == 2**11 - 1 + 1 and got.where("country is null").first()["entities"] == names

@@ -68,3 +68,24 @@ def test_dimensions_are_small_and_broadcast(spark):
     assert "BroadcastHashJoin" in plan
     assert dims.in_region(dims.countries(spark), "Africa").count() == 5
     assert dims.speaking(dims.countries(spark), "fr").count() == 4
+
+
+def test_store_day_keeps_twins_apart_and_clears_the_day(spark, tmp_path):
+    from datetime import datetime
+
+    from tidewire.plans.daily import store_day
+
+    schema = "flashpoint_id long, title string, description string, entities array<string>, domains array<string>"
+    fp = spark.createDataFrame([(1, "Same", "a", None, None), (2, " Same", "b", ["x"], None)], schema)
+    feeds = spark.createDataFrame(
+        [(1, "u1", "t", "s", "d", "en", "", ""), (2, "u2", "t", "s", "d", "en", "", ""), (9, "u3", "t", "s", "d", "en", "", "")],
+        "flashpoint_id long, url string, title string, seendate string, domain string, language string, sourcecountry string, description string",
+    )
+    day, path = datetime(2024, 1, 31), str(tmp_path / "day")
+    out = store_day(fp, feeds, "r", day, path)
+    parents, children = spark.read.parquet(out["flashpoint"]), spark.read.parquet(out["feed"])
+    assert parents.select("id").distinct().count() == 2 and children.count() == 2
+    assert children.join(parents.select(F.col("id").alias("flashpoint_id")), "flashpoint_id").count() == 2
+    store_day(fp, feeds, "r", datetime(2024, 1, 30), path)
+    store_day(fp.where("1 = 0"), feeds.where("1 = 0"), "r", day, path)
+    assert [str(r.dt) for r in spark.read.parquet(out["flashpoint"]).select("dt").distinct().collect()] == ["2024-01-30"]

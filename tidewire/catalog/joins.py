@@ -122,7 +122,7 @@ def _(t: Tables):
 @query(
     "jn05_entity_combinations",
     """WITH q AS (SELECT query_pos, entities, list_sort(list_distinct(list_filter(entities, lambda e: list_contains(al, lower(e))))) AS countries FROM entity_list, (SELECT list(alias) AS al FROM alias)),
-      b AS (SELECT query_pos, entities, countries, unnest(range(1, 1 << len(entities))) AS bits FROM q WHERE len(countries) > 0 AND len(entities) BETWEEN 1 AND 10),
+      b AS (SELECT query_pos, entities, countries, unnest(range(1, 1 << len(entities))) AS bits FROM q WHERE len(countries) > 0 AND len(entities) >= 1),
       s AS (SELECT query_pos, bits, array_to_string(list_filter(entities, lambda e, i: (bits >> (i - 1)) & 1 = 1), ', ') AS keyword, unnest(countries) AS country FROM b),
       u AS (SELECT keyword, country, arg_min(query_pos, (query_pos, bits)) AS query_pos FROM s WHERE keyword <> country GROUP BY 1, 2),
       d AS (SELECT array_to_string(entities, ', ') AS keyword, min(query_pos) AS query_pos FROM q WHERE len(countries) > 0 AND len(entities) > 1 GROUP BY 1)

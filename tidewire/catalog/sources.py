@@ -226,15 +226,12 @@ def _(t: Tables):
 
 @query(
     "snk01_daily_replace",
-    """SELECT 'parent' AS kind, sha256('run-1|' || trim(title)) AS id, trim(title) AS title, 0 AS n FROM flashpoint WHERE trim(title) <> '' GROUP BY title
-      UNION ALL SELECT 'child', sha256(sha256('run-1|' || trim(f.title)) || '|' || e.url), trim(f.title), count(*) FROM (SELECT title, min(id) AS id FROM flashpoint WHERE trim(title) <> '' GROUP BY title) f JOIN feed e ON e.flashpoint_id = f.id GROUP BY f.title, e.url""",
+    """SELECT 'parent' AS kind, sha256('run-1|' || id) AS id, trim(title) AS title, 0 AS n FROM flashpoint WHERE trim(title) <> ''
+      UNION ALL SELECT 'child', sha256(sha256('run-1|' || f.id) || '|' || e.url), trim(f.title), count(*) FROM flashpoint f JOIN feed e ON e.flashpoint_id = f.id WHERE trim(f.title) <> '' GROUP BY f.id, f.title, e.url""",
     "flashpoint feed",
 )
 def _(t: Tables):
-    fp = t.flashpoint().where("trim(title) <> ''").groupBy("title").agg(
-        F.min("id").alias("flashpoint_id"), F.min_by("description", "id").alias("description"),
-        F.min_by("entities", "id").alias("entities"), F.min_by("domains", "id").alias("domains"),
-    )
+    fp = t.flashpoint().where("trim(title) <> ''").withColumnRenamed("id", "flashpoint_id")
     entries = t.feed().select(
         "flashpoint_id", "url", "title", "domain", "language",
         F.lit("2024-01-31").alias("seendate"), F.lit("").alias("sourcecountry"), F.lit("").alias("description"),

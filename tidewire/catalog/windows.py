@@ -102,25 +102,25 @@ def _(t: Tables):
 
 @query(
     "srt01_relevance_order",
-    "SELECT id, row_number() OVER (ORDER BY relevance DESC, quality DESC, pos) AS place FROM processed ORDER BY place LIMIT 100",
+    "SELECT id, row_number() OVER (ORDER BY relevance DESC, quality DESC, pos) AS place FROM processed",
     "processed",
 )
 def _(t: Tables):
     from tidewire.operators.order import placed
 
-    return placed(t.processed(), 100, F.desc("relevance"), F.desc("quality"), F.col("pos")).select("id", "place")
+    return placed(t.processed(), F.desc("relevance"), F.desc("quality"), F.col("pos")).select("id", "place")
 
 
 @query(
     "srt02_trend_order",
-    """SELECT country, n, row_number() OVER (ORDER BY least(n / 50.0, 1.0) DESC, n DESC, country) AS place FROM (SELECT country, count(*) AS n FROM article WHERE language = 'en' GROUP BY 1) ORDER BY place LIMIT 15""",
+    """SELECT country, n, row_number() OVER (ORDER BY least(n / 50.0, 1.0) DESC, n DESC, country) AS place FROM (SELECT country, count(*) AS n FROM article GROUP BY 1)""",
     "article",
 )
 def _(t: Tables):
     from tidewire.operators.order import placed
 
-    n = t.article().where("language = 'en'").groupBy("country").agg(F.count("*").alias("n"))
-    return placed(n, 15, F.desc(F.least(F.col("n") / 50.0, F.lit(1.0))), F.desc("n"), F.col("country")).select("country", "n", "place")
+    n = t.article().groupBy("country").agg(F.count("*").alias("n"))
+    return placed(n, F.desc(F.least(F.col("n") / 50.0, F.lit(1.0))), F.desc("n"), F.col("country")).select("country", "n", "place")
 
 
 @query(
@@ -132,7 +132,7 @@ def _(t: Tables):
     from tidewire.operators.order import placed
 
     v = t.processed().groupBy("country").agg(r8(F.avg("relevance")).alias("v"))
-    return placed(v, 1000, F.desc("v"), F.col("country")).select("country", "v", "place")
+    return placed(v, F.desc("v"), F.col("country")).select("country", "v", "place")
 
 
 @query(
@@ -147,10 +147,10 @@ def _(t: Tables):
 
 @query(
     "srt06_priority_order",
-    """SELECT event_id, row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END DESC, ts, event_id) AS place FROM events ORDER BY place LIMIT 200""",
+    """SELECT event_id, row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END DESC, ts, event_id) AS place FROM events""",
 )
 def _(t: Tables):
     from tidewire.operators.order import placed
 
     p = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(1)
-    return placed(t.events(), 200, p.desc(), F.col("ts"), F.col("event_id")).select("event_id", "place")
+    return placed(t.events(), p.desc(), F.col("ts"), F.col("event_id")).select("event_id", "place")

@@ -64,7 +64,7 @@ def once_per_ttl(df: DataFrame, source: str, ts: str, ttl_seconds: int) -> DataF
     return first_per_key(df.withColumn("bucket", bucket), [source, "bucket"], ts, "pos")
 
 
-def cluster_flashpoints(df: DataFrame, run: str = "run_id", max_rounds: int = 50) -> DataFrame:
+def cluster_flashpoints(df: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, pos, cluster) of the ordered merge of flashpoints that share an entity.
 
     A row joins the first cluster holding one of its entities; a row without
@@ -90,8 +90,8 @@ def cluster_flashpoints(df: DataFrame, run: str = "run_id", max_rounds: int = 50
     links = cut_lineage(
         df.select(run, "pos", F.explode(F.array_distinct("entities")).alias("entity"))
     )
-    for _ in range(max_rounds):
-        labels = _spread_down(rows, links, run, max_rounds)
+    while True:
+        labels = _spread_down(rows, links, run)
         founders = labels.where(F.col("cluster") == F.col("pos")).join(
             rows.select(run, "pos", "combo"), [run, "pos"]
         )
@@ -106,14 +106,13 @@ def cluster_flashpoints(df: DataFrame, run: str = "run_id", max_rounds: int = 50
             .withColumn("opens", F.col("opens") & F.col("_repeat").isNull())
             .drop("_repeat")
         )
-    raise RuntimeError(f"flashpoint combinations not settled after {max_rounds} rounds")
 
 
-def _spread_down(rows: DataFrame, links: DataFrame, run: str, max_rounds: int) -> DataFrame:
+def _spread_down(rows: DataFrame, links: DataFrame, run: str) -> DataFrame:
     labels = cut_lineage(
         rows.select(run, "pos", F.when(F.col("opens"), F.col("pos")).alias("cluster"))
     )
-    for _ in range(max_rounds):
+    while True:
         named = links.join(labels, [run, "pos"])
         seen = earlier(named, [run, "entity"], "pos", "cluster", "min", "low", 4096)
         low = seen.groupBy(run, "pos").agg(F.min("low").alias("low"))
@@ -130,8 +129,6 @@ def _spread_down(rows: DataFrame, links: DataFrame, run: str, max_rounds: int) -
         labels = moved.drop("old")
         if stable:
             return labels
-    raise RuntimeError(f"clusters not stable after {max_rounds} rounds")
-
 
 def merge_flashpoints(df: DataFrame, run: str = "run_id") -> DataFrame:
     """One row per cluster: titles joined by " / ", descriptions by a blank, entities united.
@@ -158,7 +155,7 @@ def merge_flashpoints(df: DataFrame, run: str = "run_id") -> DataFrame:
     )
 
 
-def entity_components(df: DataFrame, run: str = "run_id", max_rounds: int = 30) -> DataFrame:
+def entity_components(df: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, pos, component): rows linked through shared entities.
 
     Label spreading over the row-entity graph. Each round takes the smallest
@@ -169,7 +166,7 @@ def entity_components(df: DataFrame, run: str = "run_id", max_rounds: int = 30)
         df.select(run, "pos", F.explode(F.array_distinct("entities")).alias("entity"))
     )
     labels = cut_lineage(df.select(run, "pos", F.col("pos").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         low_entity = (
             links.join(labels, [run, "pos"])
             .groupBy(run, "entity")
@@ -191,7 +188,6 @@ def entity_components(df: DataFrame, run: str = "run_id", max_rounds: int = 30)
         labels = moved.drop("old")
         if not changed:
             return labels
-    raise RuntimeError(f"components not stable after {max_rounds} rounds")
 
 
 def merge_flashpoints_by_component(df: DataFrame, run: str = "run_id") -> DataFrame:

@@ -11,7 +11,8 @@ from tidewire import fixed
 from tidewire.functions.urls import country_for_language, feed_url
 from tidewire.operators.dedup import first_per_key
 
-MAX_COMBO_ENTITIES = 10
+#: Entities whose subsets one row is unfolded to at once; those of the others are dealt out first.
+LOW_BITS = 8
 
 
 def expand_languages(
@@ -53,15 +54,21 @@ def entity_combinations(
     country is skipped, (keyword, country) pairs are unique over all queries,
     first query wins, and short keywords are padded. Queries of more than one
     entity also give one combination without a country. The subsets come from
-    the bits of a counter; entity lists are at most ten long.
+    the bits of a counter. Its high bits are unfolded first and dealt to all
+    tasks, the low bits there, so a long list is no long array in one task.
     """
     day = lambda d: F.lit(f"{d:%Y-%m-%d}")
     n = F.size("entities")
-    small = queries.where(n.between(1, MAX_COMBO_ENTITIES) & (F.size("countries") > 0))
-    bits = F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), n).cast("int") - 1))
+    small = queries.where((n > 0) & (F.size("countries") > 0))
+    low = F.least(n, F.lit(LOW_BITS))
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), F.expr("1L") * F.pow(F.lit(2.0), k).cast("long") - 1)
     subset = F.filter("entities", lambda _, i: F.getbit(F.col("bits"), i) == 1)
     pairs = (
-        small.select("query_pos", "entities", "countries", bits.alias("bits"))
+        small.select("query_pos", "entities", "countries", F.explode(upto(n - low)).alias("high"))
+        .repartition("query_pos", "high")
+        .withColumn("bits", F.explode(upto(low)))
+        .withColumn("bits", F.col("high") * F.pow(F.lit(2.0), low).cast("long") + F.col("bits"))
+        .where("bits > 0")
         .withColumn("subset", subset)
         .select("query_pos", "bits", "subset", F.explode("countries").alias("country"))
         .withColumn("keyword", F.array_join("subset", ", "))
@@ -70,7 +77,7 @@ def entity_combinations(
     unique = first_per_key(pairs, ["keyword", "country"], "query_pos", "bits")
     default = small.where(n > 1).select(
         "query_pos",
-        F.lit(0).alias("bits"),
+        F.lit(0).cast("long").alias("bits"),
         F.col("entities").alias("subset"),
         F.lit(None).cast("string").alias("country"),
         F.array_join("entities", ", ").alias("keyword"),

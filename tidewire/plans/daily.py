@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tidewire.operators import dedup, expansion, filters
 from tidewire.sources import sinks
@@ -28,10 +28,8 @@ def store_day(
     """Replace the day's parents and children; a second run gives the same tables."""
     day = f"{as_of:%Y-%m-%d}"
     parents = sinks.stored_flashpoints(flashpoints, run_id, day)
-    titles = flashpoints.select("flashpoint_id", F.trim("title").alias("flashpoint_title"))
-    titled = entries.join(titles, "flashpoint_id").drop("flashpoint_id")
-    children = sinks.stored_feeds(titled, parents, day)
+    children = sinks.stored_feeds(entries, flashpoints, run_id, day)
     out = {"flashpoint": f"{path}/flashpoint", "feed": f"{path}/feed"}
-    sinks.replace_day(parents, out["flashpoint"])
-    sinks.replace_day(children, out["feed"])
+    sinks.replace_day(parents, out["flashpoint"], day)
+    sinks.replace_day(children, out["feed"], day)
     return out

@@ -53,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # One machine runs everything, as in tests.
         shared = os.path.join(tempfile.gettempdir(), "tidewire-checkpoints")
     spark.sparkContext.setCheckpointDir(shared)
 

@@ -13,11 +13,11 @@ EMPTY = "array<string>"
 
 
 def stored_flashpoints(flashpoints: DataFrame, run_id: str, day: str) -> DataFrame:
-    """Parent rows: an id that a retry repeats, trimmed texts, empty lists for NULL."""
+    """Parent rows: an id of run and flashpoint that a retry repeats, trimmed texts, empty lists for NULL."""
     listed = lambda c: F.coalesce(c, F.array().cast(EMPTY))
     title = F.trim("title")
     return flashpoints.select(
-        F.sha2(F.concat_ws("|", F.lit(run_id), title), 256).alias("id"),
+        F.sha2(F.concat_ws("|", F.lit(run_id), "flashpoint_id"), 256).alias("id"),
         title.alias("title"),
         F.trim("description").alias("description"),
         listed(F.col("entities")).alias("entities"),
@@ -27,10 +27,11 @@ def stored_flashpoints(flashpoints: DataFrame, run_id: str, day: str) -> DataFra
     )
 
 
-def stored_feeds(feeds: DataFrame, parents: DataFrame, day: str) -> DataFrame:
-    """Child rows with their parent id; children of unknown parents are left out."""
-    keyed = feeds.join(parents.select(F.col("id").alias("flashpoint_id"), F.col("title").alias("flashpoint_title")), "flashpoint_title")
-    return keyed.select(
+def stored_feeds(feeds: DataFrame, flashpoints: DataFrame, run_id: str, day: str) -> DataFrame:
+    """Child rows with the stored id of their flashpoint; children of unknown flashpoints are left out."""
+    stored = F.sha2(F.concat_ws("|", F.lit(run_id), "flashpoint_id"), 256)
+    keyed = feeds.join(flashpoints.select("flashpoint_id").distinct(), "flashpoint_id", "left_semi")
+    return keyed.withColumn("flashpoint_id", stored).select(
         F.sha2(F.concat_ws("|", "flashpoint_id", "url"), 256).alias("id"),
         "flashpoint_id",
         "url",
@@ -45,8 +46,15 @@ def stored_feeds(feeds: DataFrame, parents: DataFrame, day: str) -> DataFrame:
     )
 
 
-def replace_day(df: DataFrame, path: str) -> None:
-    """Replace the days present in ``df``; other days stay. A retry gives the same table."""
+def replace_day(df: DataFrame, path: str, day: str | None = None) -> None:
+    """Replace the days present in ``df``; other days stay. A retry gives the same table.
+
+    With ``day``, the rows are that day's and its partition is overwritten as a
+    whole, so a day without rows is left without rows.
+    """
+    if day is not None:
+        df.drop("dt").write.mode("overwrite").parquet(f"{path.rstrip('/')}/dt={day}")
+        return
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

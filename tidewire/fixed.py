@@ -100,6 +100,11 @@ TOKEN_PRICES = (
 )
 DEFAULT_PRICE = (0.01, 0.03)
 
+# --- Fixed values: sentences of reports --------------------------------------
+CORRELATION_SENTENCE = "%s %s correlation (%.3f) that is %s (p=%.3f)"
+NEGATIVE_SENTENCE = "High negative sentiment ratio: %.2f"
+COUNTRY_RISK_SENTENCE = "High risk in %s: %.2f"
+
 # --- Fixed values: document filter time spans -------------------------------
 TIMESPAN_UNITS = {
     "min": "minutes", "h": "hours", "hours": "hours", "d": "days", "days": "days",

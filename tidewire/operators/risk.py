@@ -58,7 +58,7 @@ def sentiment_risk(articles: DataFrame) -> DataFrame:
                 F.when(r > 0.5, "high").otherwise("medium"),
                 r,
                 0.7,
-                F.format_string("High negative sentiment ratio: %.2f", r),
+                F.format_string(fixed.NEGATIVE_SENTENCE, r),
                 str_array(ADVICE["sentiment_risk"]),
             )
         )
@@ -78,7 +78,7 @@ def geographic_risk(articles: DataFrame, threshold: float = 0.6, **kw) -> DataFr
                 F.when(s > 0.8, "high").otherwise("medium"),
                 s,
                 0.8,
-                F.format_string("High risk in %s: %.2f", c, s),
+                F.format_string(fixed.COUNTRY_RISK_SENTENCE, c, s),
                 F.array(
                     F.concat(F.lit("Focus monitoring on "), c),
                     F.lit("Analyze regional implications"),

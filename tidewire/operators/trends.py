@@ -282,7 +282,7 @@ def with_significance(corr: DataFrame) -> DataFrame:
         {
             "significance": F.when(p < 0.01, "high").when(p < 0.05, "medium").otherwise("low"),
             "interpretation": F.format_string(
-                "%s %s correlation (%.3f) that is %s (p=%.3f)", strength, direction, r, sure, p
+                fixed.CORRELATION_SENTENCE, strength, direction, r, sure, p
             ),
         }
     )

@@ -192,7 +192,7 @@ def _(t: Tables):
 def _store_feed_days(t: Tables) -> str:
     path = shared_folder(t.spark, "feeds")
     feed = t.feed().withColumn("dt", F.to_date("created_at"))
-    sinks.replace_day(feed.repartition("dt"), path)
+    sinks.replace_day(feed.hint("rebalance", "dt"), path)
     return path
 
 

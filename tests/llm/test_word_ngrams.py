@@ -1,0 +1,72 @@
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from tidewire.llm import word_ngrams as wn
+
+
+def plain_words(text):
+    words = re.findall(r"[぀-ヿ一-鿿]|[^\W\d_぀-ヿ一-鿿]+|\d+|[^\w\s]+", text)
+    return ["<"] * (wn.ORDER - 1) + words + [">"]
+
+
+def plain_model(texts):
+    """Interpolated modified Kneser-Ney of words by dictionaries."""
+    counts = Counter()
+    for t in texts:
+        w = plain_words(t)
+        counts.update(tuple(w[i : i + wn.ORDER]) for i in range(len(w) - wn.ORDER + 1))
+    levels = []
+    for _ in range(wn.ORDER):
+        n = [max(sum(v == k for v in counts.values()), 0.5) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [min(max(1 - 2 * y * n[1] / n[0], 0.1), 0.9), min(max(2 - 3 * y * n[2] / n[1], 0.1), 1.8), min(max(3 - 4 * y * n[3] / n[2], 0.1), 2.7)]
+        total, lost = Counter(), Counter()
+        for g, v in counts.items():
+            total[g[:-1]] += v
+            lost[g[:-1]] += d[min(v, 3) - 1]
+        levels.insert(0, (counts, d, total, lost))
+        counts = Counter(g[1:] for g in counts)
+
+    def p(g):
+        if not g:
+            return 1 / (len(levels[0][0]) + 1)
+        c, d, total, lost = levels[len(g) - 1]
+        if not total[g[:-1]]:
+            return p(g[1:])
+        own = (c[g] - d[min(c[g], 3) - 1]) / total[g[:-1]] if g in c else 0
+        return own + lost[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return p
+
+
+TRAIN = ["the cat sat on the mat. The dog, too!\nthe end", "un été à la mer; 12 cats", "the the the cat", "我们 今天去看海。", "the cat sat here"]
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+
+
+def test_words_follow_kneser_ney(spark):
+    model = wn.train(frame(spark, TRAIN))
+    p = plain_model(TRAIN)
+    asked = [*TRAIN, "the cat sat on a mat", "mat the on sat cat the", "unseen words only", "海看去天今们我", "我们去看海", " \n", "!!"]
+    # A repeated row has the value of a single one.
+    found = wn.surprises(frame(spark, [*asked, asked[0], "", None]), model)
+    keys = frame(spark, asked).select("text", wn.text_key(F.col("text")).alias("row"))
+    got = {r.text: r.surprise for r in keys.join(found, "row").collect()}
+    assert found.count() == len(asked) == len(got)
+    for text in asked:
+        w = plain_words(text)
+        grams = [tuple(w[i : i + wn.ORDER]) for i in range(len(w) - wn.ORDER + 1)]
+        assert abs(got[text] + sum(math.log(p(g)) for g in grams) / len(grams)) < 1e-9, text
+    # Order of words counts, in scripts with and without blanks; symbols alone could not tell the second.
+    assert got["the cat sat on a mat"] < got["mat the on sat cat the"] and got["我们去看海"] < got["海看去天今们我"]
+
+
+def test_the_table_grows_with_the_text(spark):
+    size = [wn.train(frame(spark, [f"w{chr(97 + i % 26)}{chr(97 + i // 26)} x" for i in range(n)])).gains.count() for n in (20, 200)]
+    assert size[1] > 5 * size[0]
+    assert wn.train(frame(spark, TRAIN).where("1 = 0")).gains.count() == 0

@@ -1,4 +1,7 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of symbol n-grams, trained on trusted text."""
+"""Quality classifier by the perplexity of words (word_ngrams.py), trained on trusted text.
+
+The model of symbols in this module has a fixed size; the classifier does not use it.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewire.llm import word_ngrams
 from tidewire.session import cut_lineage
 
 #: Symbols of the model: line break, blank, a-z, capital, other letters (8 classes), digit, marks, others.
@@ -163,22 +167,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 #: Rows of limits (one per language) up to which they are sent to all tasks.
 FEW_LANGUAGES = 10_000
+#: Of trusted texts one in HOLD is left out of the counts, for the limits.
+HOLD = 3
 
 
 @dataclass
 class Classifier:
-    """A model, the limits by language (of, low, spread) and the same of all languages."""
+    """A word model, the limits by language (_of, _low, _spread) and the same of all languages."""
 
-    model: Model
+    model: word_ngrams.WordModel
     limits: DataFrame
     low: float
     spread: float
 
-    def judge(self, docs: DataFrame) -> DataFrame:
-        """Add n_symbols, surprise, limit (of the surprise) and kept to the rows of ``docs`` (text, lang); no shuffle."""
-        return self.compare(score(docs, self.model))
-
     def compare(self, scored: DataFrame) -> DataFrame:
+        """Add limit (of the surprise) and kept to scored rows (lang, n_symbols, surprise)."""
         few = self.limits.count() <= FEW_LANGUAGES
         limits = F.broadcast(self.limits) if few else self.limits
         joined = scored.join(limits, F.col("lang") == F.col("_of"), "left")
@@ -189,21 +192,32 @@ class Classifier:
         return joined.withColumn("limit", limit).withColumn("kept", kept).drop("_of", "_low", "_spread")
 
 
+def _held(row: Column) -> Column:
+    return F.pmod(row, F.lit(HOLD)) == 0
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame]:
-    """The classifier, and the scores (doc_id, lang, n_symbols, surprise) of all rows of ``docs``.
+    """The classifier, and the scores (doc_id, lang, n_symbols, row, surprise) of all rows of ``docs``.
 
-    Trusted are the documents labelled quality 1 and not toxic, all of them; repeated labels count
-    once. Limits come from quantiles of the trusted documents' surprise in each language; languages
-    without trusted documents, and null, use those of all. Without any trusted document the model is
-    uniform and no limit holds.
+    Trusted are the documents labelled quality 1 and not toxic; repeated labels count once. One text
+    in HOLD of them, by its hash, is left out of the counts, and limits come from the surprise of these
+    in each language; languages without any, and null, use those of all. Too few texts to leave any
+    out are all counted and all measured. Without any trusted document no limit holds.
     """
     trusted = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
     rows = docs.select("doc_id", "text", "lang")
     # Both sides grow with the corpus, so the join is dealt by doc_id at every size.
     training = rows.where("text is not null and text != ''").join(trusted.hint("merge"), "doc_id", "left_semi")
-    model = train(training.select("text"))
-    scored = cut_lineage(score(rows, model).select("doc_id", "lang", "n_symbols", "surprise"))
+    model = word_ngrams.train(training.where(~_held(word_ngrams.text_key(F.col("text")))).select("text"))
+    all_counted = model.gains.isEmpty()
+    if all_counted:
+        model = word_ngrams.train(training.select("text"))
+    whole = F.coalesce("text", F.lit(""))
+    plain = rows.select("doc_id", "lang", F.length(whole).cast("long").alias("n_symbols"), word_ngrams.text_key(whole).alias("row"))
+    scored = cut_lineage(plain.join(word_ngrams.surprises(rows, model), "row", "left"))
     known = scored.where("surprise is not null").join(trusted, "doc_id", "left_semi")
+    held = known.where(_held(F.col("row")))
+    known = known if all_counted or held.isEmpty() else held
     cuts = F.percentile_approx("surprise", [0.5, QUANTILE], 10000)
     low, high = known.agg(cuts).first()[0] or (float("inf"), float("inf"))
     limits = (
@@ -215,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame]:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, limit and kept for every row of ``docs`` (doc_id, text, lang).
+    """doc_id, lang, n_symbols, perplexity (of a word), limit and kept for every row of ``docs`` (doc_id, text, lang).
 
     Empty and null texts have no perplexity and are not kept.
     """
@@ -227,6 +241,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier fitted on them keeps, with their columns."""
-    classifier, _ = fit(docs, labels)
-    judged = classifier.judge(docs.select(F.struct("*").alias("_doc"), "text", "lang"))
-    return judged.where("kept").select("_doc.*")
+    classifier, scored = fit(docs, labels)
+    # The verdict depends on the text and the language.
+    kept = classifier.compare(scored).where("kept").select("row", F.col("lang").alias("_lang")).distinct()
+    keyed = docs.select(F.struct("*").alias("_doc"), "lang", word_ngrams.text_key(F.col("text")).alias("row"))
+    same = (keyed["row"] == kept["row"]) & F.col("lang").eqNullSafe(F.col("_lang"))
+    return keyed.join(kept, same, "left_semi").select("_doc.*")

@@ -1,0 +1,154 @@
+"""Interpolated modified Kneser-Ney over words: count tables that grow with the text, joined sharded."""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tidewire.session import cut_lineage
+
+#: Words of an n-gram.
+ORDER = 3
+#: A letter of a script without blanks, a run of other letters, of digits, or of marks.
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+TOKEN = rf"[{_ALONE}]|[\p{{L}}\p{{M}}&&[^{_ALONE}]]+|\p{{N}}+|[^\s\p{{L}}\p{{M}}\p{{N}}]+"
+#: Stand before and after the words of a text.
+BEGIN, END = 0, 1
+#: Key under which each text counts its predictions, and shards of the rows of a single word.
+_SIZE, SALTS = 1, 8
+
+
+def tokens(text: Column) -> Column:
+    """Hashes of the words of ``text`` between marks of its begin and end."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w))
+    begin = [F.lit(BEGIN).cast("long")] * (ORDER - 1)
+    return F.concat(F.array(*begin), words, F.array(F.lit(END).cast("long")))
+
+
+def count_ngrams(texts: DataFrame) -> DataFrame:
+    """(w0, ..., c): counts of the n-grams of the column text; tasks count before the shuffle."""
+    rows = texts.select(tokens(F.col("text")).alias("_t"))
+    at = F.sequence(F.lit(0), F.size("_t") - ORDER)
+    grams = F.transform(at, lambda i: F.struct(*[F.get("_t", i + k).alias(f"w{k}") for k in range(ORDER)]))
+    return rows.select(F.explode(grams).alias("g")).select("g.*").groupBy(*[f"w{k}" for k in range(ORDER)]).agg(F.count("*").alias("c"))
+
+
+def _discounts(table: DataFrame) -> tuple[float, float, float]:
+    rows = table.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+    n1, n2, n3, n4 = (max(float(n), 0.5) for n in rows)
+    y = n1 / (n1 + 2 * n2)
+    # Clipped, as small corpora can give discounts outside what a count can lose.
+    return (
+        min(max(1 - 2 * y * n2 / n1, 0.1), 0.9),
+        min(max(2 - 3 * y * n3 / n2, 0.1), 1.8),
+        min(max(3 - 4 * y * n4 / n3, 0.1), 2.7),
+    )
+
+
+def _sharded(big: DataFrame, small: DataFrame, on: list[str], spread: str, hot: Column) -> DataFrame:
+    """Join on ``on``; rows of ``hot`` keys are dealt to shards by the column ``spread``, to which these are copied."""
+    shards = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    shard = F.when(hot, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    return big.withColumn("_s", shard).join(small.withColumn("_s", F.explode(shards)).hint("merge"), [*on, "_s"]).drop("_s")
+
+
+@dataclass
+class WordModel:
+    """gains (key, gain) and the log-probability of a word never seen.
+
+    The log-probability of a text is that of as many unseen words, plus the gain of each n-gram in it:
+    what the n-gram adds to its shorter one, and what it leaves as a context to shorter ones.
+    """
+
+    gains: DataFrame
+    unseen: float
+
+
+def _key(words: list[Column]) -> Column:
+    """Hash of an n-gram, with its order in the last two bits."""
+    return F.xxhash64(*words).bitwiseAND(F.lit(-4).cast("long")).bitwiseOR(F.lit(len(words)).cast("long"))
+
+
+def _one_word(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(3).cast("long")) == 1
+
+
+def train(trusted: DataFrame) -> WordModel:
+    """Count all of the texts (column text) and build the model; no text gives no gains."""
+    tables = [cut_lineage(count_ngrams(trusted))]
+    for order in range(ORDER - 1, 0, -1):
+        words = [f"w{k}" for k in range(ORDER - order, ORDER)]
+        # Orders below the highest count in how many ways an n-gram is preceded.
+        tables.append(cut_lineage(tables[-1].groupBy(*words).agg(F.count("*").alias("c"))))
+    tables = tables[::-1]
+    total, size = tables[0].agg(F.sum("c"), F.count("*")).first()
+    gains, lower, unseen = [], None, 0.0
+    for order, table in enumerate(tables, start=1):
+        d = _discounts(table)
+        words = [f"w{k}" for k in range(ORDER - order, ORDER)]
+        lost = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        rows = table.withColumn("lost", lost)
+        if order == 1:
+            spare = rows.agg(F.sum("lost")).first()[0] / total if size else 1.0
+            unseen = math.log(spare / ((size or 0) + 1))
+            p = rows.select(*words, ((F.col("c") - F.col("lost")) / F.lit(total or 1) + F.lit(math.exp(unseen))).alias("p"))
+            gain = F.log("p") - F.lit(unseen)
+        else:
+            context = words[:-1]
+            sums = rows.groupBy(*context).agg((F.sum("lost") / F.sum("c")).alias("spare"), F.sum("c").alias("total"))
+            sums = cut_lineage(sums)
+            gains.append(sums.select(_key([F.col(w) for w in context]).alias("key"), F.log("spare").alias("gain")))
+            # Only single words are in a large share of all n-grams.
+            joined = _sharded(rows, sums, context, words[-1], F.lit(order == 2))
+            joined = _sharded(joined, lower, words[1:], words[0], F.lit(order == 2))
+            own = (F.col("c") - F.col("lost")) / F.col("total")
+            p = joined.select(*words, "spare", F.col("p").alias("below"), (own + F.col("spare") * F.col("p")).alias("p"))
+            gain = F.log("p") - F.log("spare") - F.log("below")
+        p = cut_lineage(p)
+        gains.append(p.select(_key([F.col(w) for w in words]).alias("key"), gain.alias("gain")))
+        lower = p.select(*words, "p")
+    every = gains[0]
+    for more in gains[1:]:
+        every = every.unionByName(more)
+    # An n-gram has one gain as such and one as a context.
+    return WordModel(cut_lineage(every.groupBy("key").agg(F.sum("gain").alias("gain"))), unseen)
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def document_ngrams(docs: DataFrame) -> DataFrame:
+    """(row, key, n, salt): distinct n-grams of each text with counts; row is the text's hash."""
+    rows = docs.where("text is not null and text != ''").select(text_key(F.col("text")).alias("row"), tokens(F.col("text")).alias("_t"))
+
+    def keys(order: int) -> Column:
+        # One n-gram ends at each word; contexts of begin marks alone stand in front.
+        at = F.sequence(F.lit(ORDER - 1 - (order < ORDER)), F.size("_t") - 1)
+        return F.transform(at, lambda i: _key([F.get("_t", i - order + 1 + k) for k in range(order)]))
+
+    each = rows.select("row", F.size("_t").alias("_m"), F.sort_array(F.concat(*[keys(k) for k in range(1, ORDER + 1)])).alias("_k"))
+    first = F.filter(
+        F.sequence(F.lit(0), F.size("_k") - 1), lambda i: (i == 0) | (F.get("_k", i) != F.get("_k", i - 1))
+    )
+    each = each.select("row", "_m", "_k", first.alias("_f"))
+    grams = F.transform(
+        "_f", lambda s, j: F.struct(F.get("_k", s).alias("key"), (F.coalesce(F.get("_f", j + 1), F.size("_k")) - s).cast("long").alias("n"))
+    )
+    size = F.struct(F.lit(_SIZE).cast("long").alias("key"), (F.col("_m") - (ORDER - 1)).cast("long").alias("n"))
+    return each.select("row", F.explode(F.concat(grams, F.array(size))).alias("g")).select("row", "g.key", "g.n")
+
+
+def surprises(docs: DataFrame, model: WordModel) -> DataFrame:
+    """(row, surprise): mean negative log-probability per word of each distinct text that is not empty."""
+    spark = docs.sparkSession
+    size = spark.range(1).select(F.lit(_SIZE).cast("long").alias("key"), F.lit(0.0).alias("gain"))
+    # Every text asks for the commonest words, so these are dealt to shards by text.
+    grams = document_ngrams(docs)
+    found = _sharded(grams, model.gains.unionByName(size), ["key"], "row", _one_word(F.col("key")))
+    sums = found.groupBy("row").agg(
+        F.sum(F.col("n") * F.col("gain")).alias("gain"), F.sum(F.when(F.col("key") == _SIZE, F.col("n"))).alias("m")
+    )
+    return sums.select("row", (F.lit(-model.unseen) - F.col("gain") / F.col("m")).alias("surprise"))

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidewire.llm import word_ngrams as wn
+from tidewire.llm import ngram_quality as nq, word_ngrams as wn
 
 
 def plain_words(text):
@@ -70,3 +70,23 @@ def test_the_table_grows_with_the_text(spark):
     size = [wn.train(frame(spark, [f"w{chr(97 + i % 26)}{chr(97 + i // 26)} x" for i in range(n)])).gains.count() for n in (20, 200)]
     assert size[1] > 5 * size[0]
     assert wn.train(frame(spark, TRAIN).where("1 = 0")).gains.count() == 0
+
+
+def test_limits_come_from_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in nq.classify(docs, labels.where("doc_id % 2 = 0")).collect()}
+    asked = labels.where("doc_id % 2 = 1").collect()
+    bad = [got[r.doc_id].kept for r in asked if r.quality == 0]
+    good = [got[r.doc_id].kept for r in asked if r.quality == 1]
+    print("kept good", sum(good), len(good), "kept bad", sum(bad), len(bad))
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_limits_of_languages_with_many_and_few(spark):
+    rows = [("a", float(i)) for i in range(1, 1001)] + [("b", 2000.0), ("b", 2001.0), ("b", 2002.0), (None, 1.0)]
+    limits, whole = nq.limits_of(spark.createDataFrame(rows, "lang string, surprise double"))
+    got = {r._of: r._limit for r in limits.collect()}
+    # Of 1003 distances from the own median the quantile is that of language a: no fixed margin.
+    assert got["a"] == 990 and abs(got["b"] - (2001 + 490)) <= 5 and whole >= 990

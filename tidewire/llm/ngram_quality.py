@@ -21,10 +21,10 @@ from tidewire.session import cut_lineage
 SYMBOLS = 42
 #: Length of the n-grams; the model has at most SYMBOLS ** ORDER entries (3.1 million), whatever the corpus.
 ORDER = 4
-#: Reject where the mean surprise is over median + SPREAD * (QUANTILE - median) of the language's trusted
-#: documents, and by at least SLACK / sqrt(symbols), as short texts scatter, and MARGIN, as a model of few
-#: documents knows these better than others.
-QUANTILE, SPREAD, SLACK, MARGIN = 0.9, 6.0, 6.0, 0.6
+#: Reject above this quantile of the surprise of the language's trusted documents that were left out of the
+#: counts. A language with fewer than ENOUGH of them has no such quantile; there it is its median and the
+#: quantile of how far those of all languages are from the median of their own.
+QUANTILE, ENOUGH = 0.99, 100
 _KNOWN = 0x3000
 
 
@@ -173,23 +173,33 @@ HOLD = 3
 
 @dataclass
 class Classifier:
-    """A word model, the limits by language (_of, _low, _spread) and the same of all languages."""
+    """A word model, the limits by language (_of, _limit) and the limit of all languages."""
 
     model: word_ngrams.WordModel
     limits: DataFrame
-    low: float
-    spread: float
+    limit: float
 
     def compare(self, scored: DataFrame) -> DataFrame:
-        """Add limit (of the surprise) and kept to scored rows (lang, n_symbols, surprise)."""
+        """Add limit (of the surprise) and kept to scored rows (lang, surprise)."""
         few = self.limits.count() <= FEW_LANGUAGES
         limits = F.broadcast(self.limits) if few else self.limits
         joined = scored.join(limits, F.col("lang") == F.col("_of"), "left")
-        scatter = F.lit(SLACK) / F.sqrt(F.greatest("n_symbols", F.lit(1)))
-        room = F.greatest(F.coalesce("_spread", F.lit(self.spread)) * SPREAD, scatter, F.lit(MARGIN))
-        limit = F.coalesce("_low", F.lit(self.low)) + room
+        limit = F.coalesce("_limit", F.lit(self.limit))
         kept = F.coalesce(F.col("surprise") <= F.col("limit"), F.lit(False))
-        return joined.withColumn("limit", limit).withColumn("kept", kept).drop("_of", "_low", "_spread")
+        return joined.withColumn("limit", limit).withColumn("kept", kept).drop("_of", "_limit")
+
+
+def limits_of(known: DataFrame) -> tuple[DataFrame, float]:
+    """(_of, _limit) per language of ``known`` (lang, surprise), and the limit of all languages."""
+    at = lambda x, q: F.percentile_approx(x, q, 10000)
+    whole = known.agg(at("surprise", QUANTILE)).first()[0]
+    own = known.where("lang is not null").groupBy(F.col("lang").alias("_of")).agg(
+        at("surprise", 0.5).alias("_median"), at("surprise", QUANTILE).alias("_high"), F.count("*").alias("_n")
+    )
+    own = cut_lineage(own)
+    away = known.join(own, F.col("lang") == F.col("_of")).agg(at(F.col("surprise") - F.col("_median"), QUANTILE)).first()[0]
+    limit = F.when(F.col("_n") >= ENOUGH, F.col("_high")).otherwise(F.col("_median") + F.lit(away))
+    return own.select("_of", limit.alias("_limit")), float("inf") if whole is None else whole
 
 
 def _held(row: Column) -> Column:
@@ -218,14 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame]:
     known = scored.where("surprise is not null").join(trusted, "doc_id", "left_semi")
     held = known.where(_held(F.col("row")))
     known = known if all_counted or held.isEmpty() else held
-    cuts = F.percentile_approx("surprise", [0.5, QUANTILE], 10000)
-    low, high = known.agg(cuts).first()[0] or (float("inf"), float("inf"))
-    limits = (
-        known.where("lang is not null").groupBy(F.col("lang").alias("_of")).agg(cuts.alias("q"))
-        .select("_of", F.col("q")[0].alias("_low"), (F.col("q")[1] - F.col("q")[0]).alias("_spread"))
-    )
-    spread = high - low if high < float("inf") else 0.0
-    return Classifier(model, cut_lineage(limits), low, spread), scored
+    limits, limit = limits_of(known)
+    return Classifier(model, limits, limit), scored
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

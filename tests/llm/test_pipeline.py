@@ -10,7 +10,7 @@ def test_one_query_of_each_number():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
     assert set(q.QUERIES) <= set(names) and ORACLE_SQL is None and len(STAGES) == 5
 
 

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidewire.llm.arrays import positions, words
 from tidewire.llm.chat import link_quotations
+from tidewire.llm.divergence import AUDIT_SQL, audit
 from tidewire.llm.fingerprints import fingerprints_with_edits
 from tidewire.llm.html_extract import extract
+from tidewire.llm.mixing import MIX_SQL, mix
 from tidewire.llm.ngram_quality import classify
 from tidewire.llm.packing import pack
 from tidewire.llm.pii import KINDS, find_personal_data, written
 from tidewire.llm.quality_rules import quality_verdicts
+from tidewire.llm.runs import find_runs
 from tidewire.llm.simhash import near_duplicate_classes
 from tidewire.llm.token_files import read_token_files, write_token_files
 from tidewire.llm.word_bpe import encode_and_decode
@@ -82,6 +86,53 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in one document of ten, by the checksum of its id, the words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(ws: Column) -> Column:
+        n = F.size(ws)
+        a = F.pmod(g, n).cast("int")
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("int")
+        at = F.transform(positions(n), lambda i: F.when(i >= a, a + F.pmod(i - a, p)).otherwise(i))
+        return F.array_join(F.transform(at, lambda i: F.get(ws, i)), " ")
+
+    whole = F.coalesce("text", F.lit(""))
+    # A single-element array binds the words, which are used more than once.
+    planted = F.get(F.transform(F.array(words(whole)), repeated), F.lit(0))
+    has_word = whole.rlike("[^\\x20\\x09-\\x0D]")
+    return docs.select("doc_id", F.when((F.pmod(h, F.lit(10)) == 0) & has_word, planted).otherwise(whole).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # Greatest length first, then the smallest start and period.
+    ranked = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))
+    best = F.array_min(ranked)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    sha = lambda x: F.sha2(F.encode(x, "UTF-8"), 256)
+    return found.withColumn("_best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_best.s").alias("start"),
+        (-F.col("_best.l")).alias("length"),
+        F.col("_best.p").alias("period"),
+        F.floor(-F.col("_best.l") * 1000 / F.col("_best.p")).alias("exponent_milli"),
+        sha(F.array_join(lines, "")).alias("runs_sha256"),
+        sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_packing": op2_packing,
@@ -93,5 +144,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_quotes": op9_chat_quotes,
     "op10_ngram_quality": op10_ngram_quality,
+    "op11_mixing": op11_mixing,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_mixing": MIX_SQL, "op13_source_divergence": AUDIT_SQL}

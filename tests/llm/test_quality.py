@@ -1,9 +1,7 @@
-import math
 import random
 import re
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tidewire.llm import ngram_quality as nq
@@ -58,55 +56,6 @@ def test_order_by_rejection_per_cost(spark):
     assert one == cascade(sample, rules[::-1]).where("failed_rule is null").count()
 
 
-def plain_model(texts):
-    """Interpolated modified Kneser-Ney by dictionaries."""
-    counts = Counter(int(c) for t in texts for c in nq.ngram_codes(t))
-    levels = []
-    for order in range(nq.ORDER, 0, -1):
-        n = [max(sum(v == k for v in counts.values()), 0.5) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [min(max(1 - 2 * y * n[1] / n[0], 0.1), 0.9), min(max(2 - 3 * y * n[2] / n[1], 0.1), 1.8), min(max(3 - 4 * y * n[3] / n[2], 0.1), 2.7)]
-        cut = {g: d[min(v, 3) - 1] for g, v in counts.items()}
-        total, lost = Counter(), Counter()
-        for g, v in counts.items():
-            total[g // nq.SYMBOLS] += v
-            lost[g // nq.SYMBOLS] += cut[g]
-        levels.append((counts, cut, total, lost))
-        counts = Counter(g % nq.SYMBOLS ** (order - 1) for g in counts)
-
-    def p(code, order):
-        if order == 0:
-            return 1 / nq.SYMBOLS
-        c, cut, total, lost = levels[nq.ORDER - order]
-        context = code // nq.SYMBOLS
-        lower = p(code % nq.SYMBOLS ** (order - 1), order - 1)
-        if not total[context]:
-            return lower
-        own = (c[code] - cut[code]) / total[context] if code in c else 0
-        return own + lost[context] / total[context] * lower
-
-    return p
-
-
-def test_model_is_kneser_ney(spark):
-    texts = ["the cat sat on the mat. The dog, too!\nthe end", "un été à la mer; 12 cats", "the the the cat"]
-    model = nq.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2))
-    p = plain_model(texts)
-    for text in [*texts, "QQQ zz## the", "中 文"]:
-        want = -np.mean([math.log(p(int(c), nq.ORDER)) for c in nq.ngram_codes(text)])
-        assert abs(model.surprise(text) - want) < 1e-5
-    # What follows a context sums to one.
-    table = np.exp(model.log_p.astype(float)).reshape(-1, nq.SYMBOLS)
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
-
-
-def test_long_texts_are_scored_whole(spark):
-    model = nq.train(spark.createDataFrame([("abc def " * 50,)], "text string"))
-    text = "abc def " * 140_000
-    codes = nq.ngram_codes(text)
-    assert abs(model.surprise(text) + float(model.log_p[codes].mean(dtype=float))) < 1e-6
-
-
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

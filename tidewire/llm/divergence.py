@@ -13,8 +13,9 @@ from tidewire.session import cut_lineage
 
 #: Documents of a language that have a term, at least; what is added to each count; scale of shares; ranks of terms.
 LEAST_DOCS, ADDED, SCALE, TERMS = 30, 5, 10**9, 50
-#: Bytes of text counted together, rows of one shard of terms, sources of one block, cells of a matrix.
-TOGETHER, SHARD_ROWS, BLOCK, CELLS = 1 << 26, 200_000, 256, 1 << 22
+#: Bytes of text brought into the order of owners, and counted together; rows of one shard of terms, sources of one
+#: block, cells of a matrix.
+HELD, TOGETHER, SHARD_ROWS, BLOCK, CELLS = 1 << 25, 1 << 22, 200_000, 256, 1 << 22
 
 _LETTER = np.zeros(256, bool)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -97,16 +98,20 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         rows["owner"] = rows.groupby(["lang", "source"]).ngroup()
         rows = rows.sort_values("owner", kind="stable")
         names = rows.drop_duplicates("owner")[["lang", "source"]]
-        for term, owner, n, docs in count_terms(rows["text"].tolist(), rows["owner"].to_numpy()):
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "lang": pa.array(names["lang"].to_numpy()[owner], pa.string()),
-                    "source": pa.array(names["source"].to_numpy()[owner], pa.string()),
-                    "term": pa.array(term.tolist(), pa.binary()).cast(pa.string()),
-                    "n": pa.array(n, pa.int64()),
-                    "docs": pa.array(docs, pa.int64()),
-                }
-            )
+        # Few owners are in a part, as rows are in their order.
+        part = (rows["text"].str.len().cumsum() // TOGETHER).to_numpy()
+        for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(part)) + 1):
+            some = rows.iloc[at]
+            for term, owner, n, docs in count_terms(some["text"].tolist(), some["owner"].to_numpy()):
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "lang": pa.array(names["lang"].to_numpy()[owner], pa.string()),
+                        "source": pa.array(names["source"].to_numpy()[owner], pa.string()),
+                        "term": pa.array(term.tolist(), pa.binary()).cast(pa.string()),
+                        "n": pa.array(n, pa.int64()),
+                        "docs": pa.array(docs, pa.int64()),
+                    }
+                )
 
     held, size = [], 0
     for batch in batches:
@@ -114,7 +119,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         frame = pd.DataFrame({"lang": batch.column("lang").to_pylist(), "source": batch.column("source").to_pylist(), "text": texts})
         held.append(frame)
         size += sum(map(len, texts))
-        if size >= TOGETHER:
+        if size >= HELD:
             yield from counted(pd.concat(held, ignore_index=True))
             held, size = [], 0
     if held:

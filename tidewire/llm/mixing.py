@@ -14,7 +14,7 @@ from tidewire.session import cut_lineage
 #: Weights of the sources in code point order, repeating; words of the mix as a share of all words; most epochs.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
 #: Rows that one range of keys of a source may hold on average; more rows make more ranges.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 
 
 def random_key(seed: str = "") -> Column:

@@ -1,189 +1,65 @@
-"""Quality classifier by the perplexity of words (word_ngrams.py), trained on trusted text.
-
-The model of symbols in this module has a fixed size; the classifier does not use it.
-"""
+"""Quality classifier by the perplexity of texts under the n-grams (char_ngrams.py) of trusted texts."""
 
 from __future__ import annotations
 
-import functools
-import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewire.llm import word_ngrams
+from tidewire.llm.char_ngrams import CharModel, train, with_surprise
 from tidewire.session import cut_lineage
 
-#: Symbols of the model: line break, blank, a-z, capital, other letters (8 classes), digit, marks, others.
-SYMBOLS = 42
-#: Length of the n-grams; the model has at most SYMBOLS ** ORDER entries (3.1 million), whatever the corpus.
-ORDER = 4
 #: Reject above this quantile of the surprise of the language's trusted documents that were left out of the
 #: counts. A language with fewer than ENOUGH of them has no such quantile; there it is its median and the
 #: quantile of how far those of all languages are from the median of their own.
 QUANTILE, ENOUGH = 0.99, 100
-_KNOWN = 0x3000
-
-
-@functools.lru_cache(maxsize=1)
-def symbol_table() -> np.ndarray:
-    """Symbol of each code point below ``_KNOWN``; the last entry stands for all others."""
-    out = np.full(_KNOWN + 1, 41, dtype=np.int64)
-    for c in range(_KNOWN):
-        kind = unicodedata.category(chr(c))
-        if chr(c) in "\n\r\x0b\x0c":
-            out[c] = 0
-        elif chr(c).isspace():
-            out[c] = 1
-        elif 97 <= c <= 122:
-            out[c] = 2 + c - 97
-        elif kind in ("Lu", "Lt"):
-            out[c] = 28
-        elif kind[0] in "LM":
-            out[c] = 29 + c % 8
-        elif kind[0] == "N":
-            out[c] = 37
-        elif chr(c) in ".,;:?":
-            out[c] = 38
-        elif c == ord("!"):
-            out[c] = 39
-        elif kind in ("Ps", "Pe", "Pi", "Pf", "Pd") or chr(c) in "\"'":
-            out[c] = 40
-    out[_KNOWN] = 29  # scripts without case
-    return out
-
-
-def ngram_codes(text: str, order: int = ORDER) -> np.ndarray:
-    """One number per code point: its symbol and the ``order`` - 1 before it, in base SYMBOLS."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    symbols = np.concatenate([np.zeros(order - 1, np.int64), symbol_table()[np.minimum(points, _KNOWN)]])
-    codes = np.zeros(len(points), dtype=np.int64)
-    for k in range(order):
-        codes = codes * SYMBOLS + symbols[k : k + len(points)]
-    return codes
-
-
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(code, c): counts of the n-grams of the column text, over all rows. Tasks count before the shuffle."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(SYMBOLS**ORDER, dtype=np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                for at in range(0, len(text), 1 << 20):
-                    codes = ngram_codes(text[max(0, at - ORDER + 1) : at + (1 << 20)])
-                    seen, n = np.unique(codes[min(at, ORDER - 1) :], return_counts=True)
-                    counts[seen] += n
-        seen = np.flatnonzero(counts)
-        yield pd.DataFrame({"code": seen, "c": counts[seen]})
-
-    return texts.select("text").mapInPandas(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-
-
-def _discount(c: Column, d: tuple[float, float, float]) -> Column:
-    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-
-
-def kneser_ney(counts: DataFrame) -> list[DataFrame]:
-    """Per order from 1: (code, own, spare) of each n-gram seen.
-
-    own: discounted share of the n-gram in its context. spare: what the context leaves to the next
-    lower order. Orders below the highest use continuation counts: in how many ways an n-gram is
-    preceded. Counts and context sums are joined on the context, sharded by its hash.
-    """
-    levels, table = [], counts
-    for order in range(ORDER, 0, -1):
-        table = cut_lineage(table)
-        rows = table.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-        n1, n2, n3, n4 = (max(float(n), 0.5) for n in rows)
-        y = n1 / (n1 + 2 * n2)
-        # Clipped, as small corpora can give discounts outside what a count can lose.
-        d = (
-            min(max(1 - 2 * y * n2 / n1, 0.1), 0.9),
-            min(max(2 - 3 * y * n3 / n2, 0.1), 1.8),
-            min(max(3 - 4 * y * n4 / n3, 0.1), 2.7),
-        )
-        context = F.floor(F.col("code") / SYMBOLS)
-        lost = _discount(F.col("c"), d)
-        sums = table.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.sum(lost).alias("lost"))
-        levels.append(
-            table.withColumn("context", context)
-            .join(sums, "context")
-            .select("code", ((F.col("c") - lost) / F.col("total")).alias("own"), (F.col("lost") / F.col("total")).alias("spare"))
-        )
-        table = table.groupBy((F.col("code") % SYMBOLS ** (order - 1)).alias("code")).agg(F.count("*").alias("c"))
-    return levels[::-1]
-
-
-@dataclass
-class Model:
-    """Natural logarithm of the probability of each n-gram's last symbol, by code."""
-
-    log_p: np.ndarray
-
-    def surprise(self, text: str) -> float:
-        """Mean negative log-probability per code point; logarithm of the perplexity."""
-        total, n = 0.0, len(text)
-        for at in range(0, n, 1 << 20):
-            codes = ngram_codes(text[max(0, at - ORDER + 1) : at + (1 << 20)])[min(at, ORDER - 1) :]
-            total -= float(self.log_p[codes].sum(dtype=np.float64))
-        return total / n
-
-
-def build(levels: list[DataFrame]) -> Model:
-    """The dense table. Its size is fixed by SYMBOLS and ORDER, so it may come to the driver."""
-    p = np.full(1, 1.0 / SYMBOLS)
-    for order, level in enumerate(levels, start=1):
-        seen = level.toPandas()
-        code = seen["code"].to_numpy(np.int64)
-        spare = np.ones(SYMBOLS ** (order - 1))
-        spare[code // SYMBOLS] = seen["spare"].to_numpy()
-        lower = np.tile(p, SYMBOLS) if order > 1 else np.full(SYMBOLS, p[0])
-        p = np.repeat(spare, SYMBOLS) * lower[: SYMBOLS**order]
-        p[code] += seen["own"].to_numpy()
-    return Model(np.log(np.maximum(p, 1e-12)).astype(np.float32))
+#: Of trusted texts one in HOLD is left out of the counts, for the limits.
+HOLD = 3
+#: Bits of the filter that all tasks hold to send few texts to the join with the labels.
+FILTER_BITS = 26
 
 
-def train(trusted: DataFrame) -> Model:
-    """Count all of the trusted texts (column text) and build the model; no text gives a uniform model."""
-    return build(kneser_ney(count_ngrams(trusted)))
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """A place in the filter for each id."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add n_symbols (code points) and surprise (null for empty texts) to the rows of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def in_filter(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids``, and few others: a Bloom filter of fixed size, built in parts."""
 
-    @F.pandas_udf("double")
-    def surprise(texts: pd.Series) -> pd.Series:
-        own = shared.value
-        return pd.Series([own.surprise(t) if t else None for t in texts], dtype="float64")
+    @F.pandas_udf("long")
+    def place(x: pd.Series) -> pd.Series:
+        return pd.Series(_spread(x.to_numpy(np.int64)))
 
-    whole = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"n_symbols": F.length(whole).cast("long"), "surprise": surprise(whole)})
+    marked = ids.select(place("doc_id").alias("p"))
+    bit = F.expr("shiftleft(1L, cast(p % 32 as int))")
+    # At most 2 ** 21 rows, however many ids there are.
+    words = marked.groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    table = np.zeros(1 << FILTER_BITS - 5, np.uint32)
+    table[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
+    @F.pandas_udf("boolean")
+    def marks(x: pd.Series) -> pd.Series:
+        p = _spread(x.to_numpy(np.int64))
+        return pd.Series((shared.value[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1)).astype(bool))
 
-#: Rows of limits (one per language) up to which they are sent to all tasks.
-FEW_LANGUAGES = 10_000
-#: Of trusted texts one in HOLD is left out of the counts, for the limits.
-HOLD = 3
+    return docs.where("doc_id is not null").where(marks("doc_id"))
 
 
 @dataclass
 class Classifier:
-    """A word model, the limits by language (_of, _limit) and the limit of all languages."""
+    """A model, the limits by language (_of, _limit) and the limit of all languages."""
 
-    model: word_ngrams.WordModel
+    model: CharModel
     limits: DataFrame
     limit: float
 
     def compare(self, scored: DataFrame) -> DataFrame:
         """Add limit (of the surprise) and kept to scored rows (lang, surprise)."""
-        few = self.limits.count() <= FEW_LANGUAGES
-        limits = F.broadcast(self.limits) if few else self.limits
-        joined = scored.join(limits, F.col("lang") == F.col("_of"), "left")
+        joined = scored.join(self.limits, F.col("lang") == F.col("_of"), "left")
         limit = F.coalesce("_limit", F.lit(self.limit))
         kept = F.coalesce(F.col("surprise") <= F.col("limit"), F.lit(False))
         return joined.withColumn("limit", limit).withColumn("kept", kept).drop("_of", "_limit")
@@ -202,52 +78,47 @@ def limits_of(known: DataFrame) -> tuple[DataFrame, float]:
     return own.select("_of", limit.alias("_limit")), float("inf") if whole is None else whole
 
 
-def _held(row: Column) -> Column:
-    return F.pmod(row, F.lit(HOLD)) == 0
+def _held(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(HOLD)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame]:
-    """The classifier, and the scores (doc_id, lang, n_symbols, row, surprise) of all rows of ``docs``.
+def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
+    """The classifier learned from the trusted ones of ``docs`` (doc_id, text, lang).
 
     Trusted are the documents labelled quality 1 and not toxic; repeated labels count once. One text
     in HOLD of them, by its hash, is left out of the counts, and limits come from the surprise of these
     in each language; languages without any, and null, use those of all. Too few texts to leave any
     out are all counted and all measured. Without any trusted document no limit holds.
     """
-    trusted = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    rows = docs.select("doc_id", "text", "lang")
+    trusted = cut_lineage(labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct())
+    rows = docs.select("doc_id", "text", "lang").where("text is not null and text != ''")
     # Both sides grow with the corpus, so the join is dealt by doc_id at every size.
-    training = rows.where("text is not null and text != ''").join(trusted.hint("merge"), "doc_id", "left_semi")
-    model = word_ngrams.train(training.where(~_held(word_ngrams.text_key(F.col("text")))).select("text"))
-    all_counted = model.gains.isEmpty()
-    if all_counted:
-        model = word_ngrams.train(training.select("text"))
-    whole = F.coalesce("text", F.lit(""))
-    plain = rows.select("doc_id", "lang", F.length(whole).cast("long").alias("n_symbols"), word_ngrams.text_key(whole).alias("row"))
-    scored = cut_lineage(plain.join(word_ngrams.surprises(rows, model), "row", "left"))
-    known = scored.where("surprise is not null").join(trusted, "doc_id", "left_semi")
-    held = known.where(_held(F.col("row")))
-    known = known if all_counted or held.isEmpty() else held
-    limits, limit = limits_of(known)
-    return Classifier(model, limits, limit), scored
+    training = in_filter(rows, trusted).join(trusted.hint("merge"), "doc_id", "left_semi")
+    training = cut_lineage(training.select("text", "lang", _held(F.col("text")).alias("held")))
+    counted, measured = training.where("not held"), training.where("held")
+    if counted.isEmpty() or measured.isEmpty():
+        counted = measured = training
+    model = train(counted.select("text"))
+    limits, limit = limits_of(cut_lineage(with_surprise(measured, model).select("lang", "surprise")))
+    return Classifier(model, limits, limit)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity (of a word), limit and kept for every row of ``docs`` (doc_id, text, lang).
+    """doc_id, lang, n_symbols, perplexity (of a character), limit and kept for every row of ``docs`` (doc_id, text, lang).
 
-    Empty and null texts have no perplexity and are not kept.
+    Empty and null texts have no perplexity and are not kept. Repeated rows have equal results; other
+    columns of ``docs`` are not read.
     """
-    classifier, scored = fit(docs, labels)
+    classifier = fit(docs, labels)
+    length = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    scored = with_surprise(docs.select("doc_id", "text", "lang"), classifier.model).select("doc_id", "lang", length.alias("n_symbols"), "surprise")
     return classifier.compare(scored).select(
         "doc_id", "lang", "n_symbols", F.exp("surprise").alias("perplexity"), F.exp("limit").alias("limit"), "kept"
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier fitted on them keeps, with their columns."""
-    classifier, scored = fit(docs, labels)
-    # The verdict depends on the text and the language.
-    kept = classifier.compare(scored).where("kept").select("row", F.col("lang").alias("_lang")).distinct()
-    keyed = docs.select(F.struct("*").alias("_doc"), "lang", word_ngrams.text_key(F.col("text")).alias("row"))
-    same = (keyed["row"] == kept["row"]) & F.col("lang").eqNullSafe(F.col("_lang"))
-    return keyed.join(kept, same, "left_semi").select("_doc.*")
+    """The rows of ``docs`` that the classifier fitted on them keeps, with their columns; null and empty texts go."""
+    classifier = fit(docs, labels)
+    rows = docs.select(F.struct("*").alias("_doc"), "text", "lang")
+    return classifier.compare(with_surprise(rows, classifier.model)).where("kept").select("_doc.*")

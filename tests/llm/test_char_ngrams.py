@@ -73,8 +73,7 @@ def test_long_texts_and_many_characters_are_scored_whole(spark, monkeypatch):
     want = -sum(math.log(p(g)) for g in grams(text)) / len(grams(text))
     model = cn.train(frame(spark, [text]))
     assert abs(cn.with_surprise(frame(spark, [text]), model).first().surprise - want) < 1e-9
-    rows = model.gains.toPandas()
-    lookup = cn.Lookup(rows["hi"].to_numpy(), rows["lo"].to_numpy(), rows["gain"].to_numpy())
+    lookup = cn.lookup_of(model.gains)
     monkeypatch.setattr(cn, "CHUNK", 500)
     cut, _ = cn.score_texts(["abc", text, "x"], lookup, False)
     whole = -(model.unseen + (cut[1] + model.begin) / (len(text) + 1))

@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewire.session import cut_lineage
@@ -96,9 +98,9 @@ def _context(hi: Column, lo: Column) -> tuple[Column, Column]:
     return F.shiftright(hi, BITS), F.shiftleft(hi.bitwiseAND(_ONE), 2 * BITS).bitwiseOR(F.shiftright(lo, BITS))
 
 
-def _discounts(table: DataFrame) -> tuple[float, float, float]:
-    rows = table.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (max(float(n), 0.5) for n in rows)
+def _discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
+    """Of n-grams seen once, twice and more often, from how many are seen one to four times."""
+    n1, n2, n3, n4 = (max(float(n), 0.5) for n in (n1, n2, n3, n4))
     y = n1 / (n1 + 2 * n2)
     # Clipped, as small corpora can give discounts outside what a count can lose.
     return (
@@ -122,6 +124,8 @@ class CharModel:
     begin: float
     entries: int
     head: int = HEAD
+    #: The head, once it is sent to the tasks.
+    shared: Broadcast | None = None
 
 
 def train(trusted: DataFrame, head: int = HEAD) -> CharModel:
@@ -139,9 +143,11 @@ def train(trusted: DataFrame, head: int = HEAD) -> CharModel:
         tables.append(cut_lineage(shorter.groupBy("hi", "lo").agg(F.count("*").alias("c"), F.sum("seen").alias("seen"))))
     tables = tables[::-1]
     total, size = tables[0].agg(F.sum("c"), F.count("*")).first()
+    few = [t.where("c <= 4").groupBy(F.lit(n).alias("order"), "c").agg(F.count("*").alias("n")) for n, t in enumerate(tables, start=1)]
+    times = {(r.order, r.c): r.n for r in reduce(DataFrame.unionByName, few).collect()}
     gains, lower, unseen = [], None, 0.0
     for order, table in enumerate(tables, start=1):
-        d = _discounts(table)
+        d = _discounts(*[times.get((order, c), 0) for c in (1, 2, 3, 4)])
         lost = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         rows = table.withColumn("lost", lost)
         if order == 1:
@@ -153,7 +159,7 @@ def train(trusted: DataFrame, head: int = HEAD) -> CharModel:
             up, left = _context(F.col("hi"), F.col("lo"))
             short = _shorter(F.col("hi"), F.col("lo"), order)
             rows = rows.withColumns({"_ch": up, "_cl": left, "_sh": short[0], "_sl": short[1]})
-            sums = cut_lineage(rows.groupBy("_ch", "_cl").agg((F.sum("lost") / F.sum("c")).alias("spare"), F.sum("c").alias("total")))
+            sums = rows.groupBy("_ch", "_cl").agg((F.sum("lost") / F.sum("c")).alias("spare"), F.sum("c").alias("total"))
             below = lower.select(F.col("hi").alias("_sh"), F.col("lo").alias("_sl"), F.col("p").alias("below"))
             joined = rows.join(sums, ["_ch", "_cl"]).join(below, ["_sh", "_sl"])
             own = (F.col("c") - F.col("lost")) / F.col("total")
@@ -161,9 +167,7 @@ def train(trusted: DataFrame, head: int = HEAD) -> CharModel:
             gains.append(p.select("hi", "lo", (F.log("p") - F.log("spare") - F.log("below")).alias("gain"), "seen"))
             gains.append(sums.select(F.col("_ch").alias("hi"), F.col("_cl").alias("lo"), F.log("spare").alias("gain"), F.lit(0).cast("long").alias("seen")))
         lower = p
-    every = gains[0]
-    for more in gains[1:]:
-        every = every.unionByName(more)
+    every = reduce(DataFrame.unionByName, gains)
     # An n-gram has one gain as such and one as a context.
     table = cut_lineage(every.groupBy("hi", "lo").agg(F.sum("gain").alias("gain"), F.max("seen").alias("seen")))
     starts, hi, lo = [], 0, 0
@@ -183,22 +187,34 @@ def _hash(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Gains of the head by sorted hashes; a hit is checked by the n-gram itself."""
+    """Gains of n-grams by their sorted hashes of 64 bits."""
 
-    def __init__(self, hi: np.ndarray, lo: np.ndarray, gain: np.ndarray) -> None:
-        key = _hash(hi, lo)
-        order = np.argsort(key, kind="stable")
-        self.key, self.hi, self.lo, self.gain = key[order], hi[order], lo[order], gain[order]
+    def __init__(self, key: np.ndarray, gain: np.ndarray) -> None:
+        order = np.argsort(key)
+        self.key, self.gain = key[order], gain[order]
 
     def find(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(gain, found) of each n-gram; the gain of what is not found is zero."""
         if not len(self.key):
             return np.zeros(len(hi)), np.zeros(len(hi), bool)
-        at = np.minimum(np.searchsorted(self.key, _hash(hi, lo)), len(self.key) - 1)
-        found = (self.hi[at] == hi) & (self.lo[at] == lo)
+        key = _hash(hi, lo)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        found = self.key[at] == key
         return np.where(found, self.gain[at], 0.0), found
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        key = _hash(b.column("hi").to_numpy(), b.column("lo").to_numpy()).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key), b.column("gain")], names=["key", "gain"])
+
+
+def lookup_of(gains: DataFrame) -> Lookup:
+    """All rows of ``gains``, of which there are as many as a head has at most."""
+    rows = gains.select("hi", "lo", "gain").mapInArrow(_keyed, "key long, gain double").toArrow()
+    return Lookup(rows.column("key").to_numpy().view(np.uint64), rows.column("gain").to_numpy())
+
+
 def _orders(hi: np.ndarray, lo: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """An n-gram and its endings of all orders."""
     none = np.zeros_like(hi)
@@ -241,8 +257,9 @@ def with_surprise(docs: DataFrame, model: CharModel) -> DataFrame:
     order = [F.desc("seen"), "hi", "lo"]
     more = model.entries > model.head
     top = model.gains.orderBy(*order).limit(model.head) if more else model.gains
-    rows = top.select("hi", "lo", "gain", "seen").toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast(Lookup(rows["hi"].to_numpy(), rows["lo"].to_numpy(), rows["gain"].to_numpy()))
+    if model.shared is None:
+        model.shared = docs.sparkSession.sparkContext.broadcast(lookup_of(top))
+    shared = model.shared
 
     @F.pandas_udf("struct<gain: double, rest: array<struct<hi: long, lo: long, n: long>>>")
     def scored(texts: pd.Series) -> pd.DataFrame:
@@ -255,8 +272,9 @@ def with_surprise(docs: DataFrame, model: CharModel) -> DataFrame:
     if not more:
         total = F.col("_scored.gain")
         return held.withColumn("surprise", _surprise(model, total, places)).drop("_scored")
-    last = rows.sort_values(["seen", "hi", "lo"], ascending=[False, True, True]).iloc[-1]
-    beyond = F.struct(-F.col("seen"), "hi", "lo") > F.struct(*[F.lit(int(x)).cast("long") for x in (-last["seen"], last["hi"], last["lo"])])
+    place = F.struct((-F.col("seen")).alias("seen"), "hi", "lo")
+    last = top.agg(F.max(place)).first()[0]
+    beyond = place > F.struct(*[F.lit(x).cast("long").alias(c) for c, x in last.asDict().items()])
     rest = model.gains.where(beyond).select("hi", "lo", F.col("gain").alias("_gain"))
     texts = held.where("text is not null and text != ''").select(text_key(F.col("text")).alias("_row"), F.col("_scored.rest").alias("rest"))
     keyed = cut_lineage(texts.dropDuplicates(["_row"])).select("_row", F.explode("rest").alias("g")).select("_row", "g.*")

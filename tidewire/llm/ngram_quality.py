@@ -36,9 +36,9 @@ def in_filter(docs: DataFrame, ids: DataFrame) -> DataFrame:
     marked = ids.select(place("doc_id").alias("p"))
     bit = F.expr("shiftleft(1L, cast(p % 32 as int))")
     # At most 2 ** 21 rows, however many ids there are.
-    words = marked.groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    words = marked.groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
     table = np.zeros(1 << FILTER_BITS - 5, np.uint32)
-    table[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    table[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")

@@ -67,8 +67,8 @@ class Tables:
         return self.table("documents").select(
             d.alias("id"),
             d.alias("pos"),
-            F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(120)).alias("title"),
-            F.left("text", F.lit(300)).alias("description"),
+            F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+            F.col("text").alias("description"),
             F.col("text").alias("content"),
             F.concat(F.lit("http://"), "source", F.lit(".example.com/"), (d % 900).cast("string")).alias("url"),
             "source",
@@ -320,8 +320,8 @@ def tokens_sql(text: str) -> str:
 SQL_VIEWS: dict[str, tuple[str, str]] = {
     "article": (
         "",
-        """SELECT doc_id AS id, doc_id AS pos, left(split_part(text, chr(10), 1), 120) AS title,
-             left(text, 300) AS description, text AS content,
+        """SELECT doc_id AS id, doc_id AS pos, split_part(text, chr(10), 1) AS title,
+             text AS description, text AS content,
              'http://' || source || '.example.com/' || CAST(doc_id % 900 AS VARCHAR) AS url, source,
              TIMESTAMP '2024-01-01' + to_minutes(doc_id * 37 % 43200) AS published_at,
              lang AS language, 'NATION_' || CAST(doc_id % 25 AS VARCHAR) AS country

@@ -59,7 +59,7 @@ def _(t: Tables):
 def _unified(t: Tables):
     a = t.article().select(
         "pos", "title", "url", "source", stamp("published_at").alias("published_date"),
-        F.left("description", F.lit(50)).alias("snippet"),
+        F.col("description").alias("snippet"),
     )
     e = t.events().select(
         F.col("event_id").alias("pos"), F.col("event_type").alias("title"),
@@ -71,7 +71,7 @@ def _unified(t: Tables):
 
 @query(
     "flt04_unify",
-    f"""SELECT 'article' AS type, pos, title, url, source, strftime(published_at, {STAMP}) AS published_date, left(description, 50) AS content FROM article
+    f"""SELECT 'article' AS type, pos, title, url, source, strftime(published_at, {STAMP}) AS published_date, description AS content FROM article
       UNION ALL SELECT 'event', event_id, event_type, 'http://events.example.com/' || user_id, 'events', strftime(ts, {STAMP}), event_type FROM events""",
     "article",
 )
@@ -83,12 +83,12 @@ def _(t: Tables):
     "flt05_standardize",
     """SELECT CAST(id AS VARCHAR) AS id, title, url, source, '' AS published_date, content, 'unknown' AS type,
         CASE WHEN id % 4 = 0 THEN 'content|id|title|url' ELSE 'content|id|source|title|url' END AS original_keys FROM (
-      SELECT id, title, url, CASE WHEN id % 4 = 0 THEN '' ELSE source END AS source, left(content, 40) AS content FROM article)""",
+      SELECT id, title, url, CASE WHEN id % 4 = 0 THEN '' ELSE source END AS source, content AS content FROM article)""",
     "article",
 )
 def _(t: Tables):
     src = F.when(F.col("id") % 4 != 0, F.col("source"))
-    rows = t.article().select("id", "title", "url", src.alias("source"), F.left("content", F.lit(40)).alias("content"))
+    rows = t.article().select("id", "title", "url", src.alias("source"), F.col("content").alias("content"))
     return fl.standardize(rows).withColumn("original_keys", joined("original_keys"))
 
 
@@ -188,12 +188,12 @@ def _(t: Tables):
 
 @query(
     "flt13_exclude_seen_words",
-    f"""WITH seen AS (SELECT DISTINCT unnest(regexp_extract_all(lower(left(text, 60)), '{W}')) AS term FROM benchmark)
+    f"""WITH seen AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{W}')) AS term FROM benchmark)
       SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (
         SELECT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS term FROM documents) JOIN seen USING (term))""",
 )
 def _(t: Tables):
-    words = tx.words_of(F.left("text", F.lit(60)))
+    words = tx.words_of(F.col("text"))
     seen = t.table("benchmark").select(F.explode(words).alias("term"))
     return fl.without_seen_words(t.article(), "id", F.col("content"), seen).select("id")
 

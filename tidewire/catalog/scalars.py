@@ -272,12 +272,12 @@ def _(t: Tables):
 
 @query(
     "scl17_entity_candidates",
-    f"""SELECT doc_id AS id, array_to_string(list_filter(regexp_split_to_array(trim(left(text, 300)), '\\s+'),
+    f"""SELECT doc_id AS id, array_to_string(list_filter(regexp_split_to_array(trim(text), '\\s+'),
         lambda w: regexp_matches(w, '{TITLE_CASE_SQL}') AND length(w) > 2), '|') AS entities FROM documents""",
 )
 def _(t: Tables):
     return t.table("documents").select(
-        F.col("doc_id").alias("id"), joined(tx.entity_candidates(F.left("text", F.lit(300)))).alias("entities")
+        F.col("doc_id").alias("id"), joined(tx.entity_candidates(F.col("text"))).alias("entities")
     )
 
 

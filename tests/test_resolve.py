@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,11 +46,14 @@ def test_query_history_equals_contains(spark, seed):
     words = ["ab", "abc", "oil", "war", "a", "über", "x-y"]
     text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
     q = [(i, text(rnd.randint(1, 4))) for i in range(30)] + [(97, "-"), (98, "B"), (99, "")]
-    h = [(i, text(rnd.randint(1, 9)).upper()) for i in range(60)]
+    now = datetime(2024, 1, 2)
+    h = [(i, text(rnd.randint(1, 9)).upper(), now - timedelta(hours=rnd.choice([-1, 0, 3, 23, 24, 30]))) for i in range(60)]
+    h.append((60, "oil war", None))
     got = resolve.query_history(
-        spark.createDataFrame(q, "qid long, query string"), spark.createDataFrame(h, "hid long, query string")
+        spark.createDataFrame(q, "qid long, query string"), spark.createDataFrame(h, "hid long, query string, ts timestamp"), now
     )
-    want = sorted((i, j) for i, a in q for j, b in h if a and a.lower() in b.lower())
+    recent = [(j, b) for j, b, t in h if t and now - timedelta(hours=24) < t <= now]
+    want = sorted((i, j) for i, a in q for j, b in recent if a and a.lower() in b.lower())
     assert sorted((r["qid"], r["hid"]) for r in got.collect()) == want
 
 
@@ -99,7 +103,7 @@ def test_top_per_query_in_slices(spark, monkeypatch):
         assert [b[0] for b in best] == [r[1] for r in sorted(whole, key=lambda r: (r[0], r[2])) if r[0] == i]
 
 
-def test_subscription_slices_agree(spark, monkeypatch):
+def test_subscriptions_of_many_clauses(spark):
     from tidewire.operators import filters
 
     arts = spark.sql(
@@ -110,10 +114,8 @@ def test_subscription_slices_agree(spark, monkeypatch):
         "SELECT id AS client, CAST(NULL AS array<string>) AS categories, array(concat('C', id % 3)) AS countries, "
         "array(concat('KW', id % 4)) AS keywords, 0.0D AS min_relevance, 0.2D AS min_quality, array('en') AS languages FROM range(11)"
     )
-    whole = sorted((r["id"], r["sub_client"]) for r in filters.route_to_subscribers(arts, subs).collect())
-    monkeypatch.setattr(filters, "MAX_SUBSCRIPTIONS", 3)
-    cut = sorted((r["id"], r["sub_client"]) for r in filters.route_to_subscribers(arts, subs).collect())
-    assert whole == cut == sorted((a, c) for a in range(40) for c in range(11) if a % 3 == c % 3 and a % 4 == c % 4)
+    found = sorted((r["id"], r["sub_client"]) for r in filters.route_to_subscribers(arts, subs).collect())
+    assert found == sorted((a, c) for a in range(40) for c in range(11) if a % 3 == c % 3 and a % 4 == c % 4)
 
 
 def test_combinations_of_eleven_entities(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tidewire.catalog.base import AS_OF, Tables, joined, query, r8
@@ -160,17 +162,20 @@ def _(t: Tables):
 
 @query(
     "jn08_query_history",
-    """SELECT b.item_id AS qid, d.doc_id AS hid FROM (SELECT item_id, lower(left(text, 30)) AS q FROM benchmark
-        UNION ALL SELECT 100000 + item_id, lower(substr(text, 3, 5)) FROM benchmark) b
-      JOIN documents d ON contains(lower(d.text), b.q)""",
+    """SELECT b.item_id AS qid, a.id AS hid FROM (SELECT item_id, lower(text) AS q FROM benchmark
+        UNION ALL SELECT 100000 + item_id, lower(split_part(text, ' ', 2)) FROM benchmark) b
+      JOIN article a ON contains(lower(a.content), b.q) AND b.q <> ''
+      WHERE a.published_at > TIMESTAMP '2024-01-14' AND a.published_at <= TIMESTAMP '2024-01-15'""",
+    "article",
 )
 def _(t: Tables):
     b = t.table("benchmark")
-    q = b.select(F.col("item_id").alias("qid"), F.left("text", F.lit(30)).alias("query")).unionByName(
-        b.select((F.col("item_id") + 100000).alias("qid"), F.substring("text", 3, 5).alias("query"))
+    # Whole passages, and their second words as queries of one word.
+    q = b.select(F.col("item_id").alias("qid"), F.col("text").alias("query")).unionByName(
+        b.select((F.col("item_id") + 100000).alias("qid"), F.split_part("text", F.lit(" "), F.lit(2)).alias("query"))
     )
-    h = t.table("documents").select(F.col("doc_id").alias("hid"), F.col("text").alias("query"))
-    return resolve.query_history(q, h)
+    h = t.article().select(F.col("id").alias("hid"), F.col("content").alias("query"), F.col("published_at").alias("ts"))
+    return resolve.query_history(q, h, datetime(2024, 1, 15))
 
 
 @query(
@@ -226,7 +231,7 @@ def _(t: Tables):
     "flashpoint",
 )
 def _(t: Tables):
-    kept = F.slice("entities", 2, 100)
+    kept = F.slice("entities", 2, F.greatest(F.size("entities") - 1, F.lit(0)))
     return t.flashpoint().select(
         "id", joined(F.array_sort(resolve.missing_entities(F.col("entities"), kept))).alias("missing")
     )

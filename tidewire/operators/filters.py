@@ -119,34 +119,89 @@ def matches_subscription(prefix: str = "sub_") -> Column:
     )
 
 
-MAX_SUBSCRIPTIONS = 20000  # subscriptions one task holds at a time
+#: Columns of a subscription that decide what it matches.
+FILTERS = ("categories", "countries", "keywords", "min_relevance", "min_quality", "languages")
+#: Length of the pieces under which substring clauses are looked up; portions of what no list clause narrows down.
+GRAM, PORTIONS = 4, 16
+
+
+def _grams(col: Column, size: int) -> Column:
+    """All overlapping pieces of ``size`` characters, found in one pass by a look-ahead."""
+    if size == 0:
+        return F.array(F.lit(""))
+    return F.coalesce(F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)), F.array().cast("array<string>"))
+
+
+def _profiles(subscriptions: DataFrame) -> DataFrame:
+    """Subscriptions with lower-case keywords, lists without NULL and repeats, and a ``profile`` that names the filter."""
+    lists = {
+        "categories": F.col("categories"), "countries": F.col("countries"), "languages": F.col("languages"),
+        "keywords": F.transform("keywords", lambda k: F.lower(k)),
+    }
+    none = F.array().cast("array<string>")
+    clean = {c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(v, none)))) for c, v in lists.items()}
+    return subscriptions.withColumns(clean).withColumn("profile", F.to_json(F.struct(*FILTERS)))
+
+
+def predicate_index(profiled: DataFrame) -> DataFrame:
+    """(_key, _value, profile, sub_...): each distinct filter under the values of one of its list clauses.
+
+    Countries and keywords are substrings, so they are found under their first ``GRAM`` characters; a
+    filter without a list clause is found by all articles, in ``PORTIONS``.
+    """
+    filters = profiled.select("profile", *FILTERS).dropDuplicates(["profile"])
+
+    def under(mark: str, values: str, length: int | None = None) -> Column:
+        return F.transform(
+            values, lambda v: F.struct(F.concat(F.lit(mark), F.left(v, F.lit(length)) if length else v).alias("k"), v.alias("v"))
+        )
+
+    free = F.array(*[F.struct(F.lit(f"*{i}").alias("k"), F.lit("").alias("v")) for i in range(PORTIONS)])
+    chosen = (
+        F.when(F.size("countries") > 0, under("n:", "countries", GRAM))
+        .when(F.size("keywords") > 0, under("k:", "keywords", GRAM))
+        .when(F.size("languages") > 0, under("l:", "languages"))
+        .when(F.size("categories") > 0, under("c:", "categories"))
+        .otherwise(free)
+    )
+    each = filters.withColumn("_e", F.explode(chosen))
+    return each.select(F.col("_e.k").alias("_key"), F.col("_e.v").alias("_value"), "profile", *[F.col(c).alias(f"sub_{c}") for c in FILTERS])
 
 
 def route_to_subscribers(articles: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(article, client) pairs whose filter matches; batch or stream on the left.
 
-    The subscriptions reach the articles as one array, so articles are read in
-    place and never shuffled. A table beyond ``MAX_SUBSCRIPTIONS`` is cut into
-    slices of that size by client, with one pass over the articles each.
+    Subscriptions of one filter are matched once. An article looks its filters up under its language, its
+    categories and the pieces of its country and joined keywords, by an equi-join with the predicate index; a
+    filter counts under the first of its values that the article has, so no pair comes twice and a stream
+    needs no state. The whole filter is then checked, and the matches are joined with the filter's clients.
     """
-    slices = max(1, -(-subscriptions.count() // MAX_SUBSCRIPTIONS))
-    lowered = F.transform("keywords", lambda k: F.lower(k))
-    subscriptions = subscriptions.withColumn("keywords", lowered)
-    cols = subscriptions.columns
-    out = None
-    for part in range(slices):
-        chosen = subscriptions.where(F.pmod(F.xxhash64("client"), F.lit(slices)) == part)
-        packed = chosen.agg(F.collect_list(F.struct(*cols)).alias("subs"))
-        hits = (
-            articles.withColumn("_joined", joined_keywords(F.col("keywords")))
-            .withColumn("sub", F.explode(packed.scalar()))
-            .select("*", *[F.col(f"sub.{c}").alias(f"sub_{c}") for c in cols])
-            .drop("sub")
-            .where(matches_subscription())
-            .drop("_joined")
-        )
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    profiled = _profiles(subscriptions)
+    lengths = [F.transform(c, lambda v: F.least(F.length(v), F.lit(GRAM))) for c in ("countries", "keywords")]
+    # At most GRAM + 1 values.
+    sizes = [sorted(r[0] for r in profiled.select(F.explode(n).alias("n")).distinct().collect()) for n in lengths]
+    joined = articles.withColumn("_joined", joined_keywords(F.col("keywords")))
+
+    def marked(mark: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.concat(F.lit(mark), v))
+
+    portion = F.pmod(F.xxhash64("_joined", "country", "language", "relevance", "quality"), F.lit(PORTIONS))
+    keys = F.concat(
+        *[marked("n:", _grams(F.col("country"), n)) for n in sizes[0]],
+        *[marked("k:", _grams(F.col("_joined"), n)) for n in sizes[1]],
+        marked("l:", F.array("language")), marked("c:", F.col("categories")),
+        F.array(F.concat(F.lit("*"), portion.cast("string"))),
+    )
+    found = joined.withColumn("_key", F.explode(F.array_distinct(F.array_compact(keys)))).join(predicate_index(profiled), "_key")
+    first = (
+        F.when(F.col("_key").startswith("n:"), F.get(F.filter("sub_countries", lambda v: F.contains(F.col("country"), v)), F.lit(0)))
+        .when(F.col("_key").startswith("k:"), F.get(F.filter("sub_keywords", lambda v: F.contains(F.col("_joined"), v)), F.lit(0)))
+        .when(F.col("_key").startswith("c:"), F.get(F.filter("sub_categories", lambda v: F.array_contains(F.col("categories"), v)), F.lit(0)))
+        .otherwise(F.col("_value"))
+    )
+    hits = found.where((first == F.col("_value")) & matches_subscription()).select(*articles.columns, "profile")
+    clients = profiled.select(F.col("profile"), *[F.col(c).alias(f"sub_{c}") for c in subscriptions.columns])
+    return hits.join(clients, "profile").select(*articles.columns, *[f"sub_{c}" for c in subscriptions.columns])
 
 
 def stored(

@@ -11,6 +11,7 @@ from tidewire.operators.scans import top_k
 from tidewire.plans import daily
 from tidewire.session import shared_folder
 from tidewire.sources import dims, landed, sinks
+from tidewire.sources.keyed import KeyedTable
 
 
 def _rss_items(t: Tables):
@@ -276,7 +277,10 @@ _BASE_COLS = ("id", "title", "summary", "updated_at")
 )
 def _(t: Tables):
     base, changes = _changes(t)
-    return sinks.apply_changes(base, changes, AS_OF).withColumn("updated_at", stamp("updated_at"))
+    kept = KeyedTable(t.spark, shared_folder(t.spark, "keyed"), ["id"], base.schema)
+    kept.change(0, base, lambda old, rows: rows)
+    kept.change(1, changes, lambda old, rows: sinks.apply_changes(old, rows, AS_OF))
+    return kept.read().withColumn("updated_at", stamp("updated_at"))
 
 
 def _changes(t: Tables):

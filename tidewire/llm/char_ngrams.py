@@ -24,7 +24,7 @@ ORDER, BITS, BEGIN, END, FIRST = 5, 21, 1, 2, 3
 #: N-grams of the model that all tasks hold: the commonest ones, at most so many. The others are joined by key.
 HEAD = 1 << 21
 #: Characters worked on together.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _ONE, _TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 
 
@@ -50,7 +50,7 @@ def _distinct(codes: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, n
     """(at, hi, lo, which): distinct n-grams that end at some of the places, and the number of each place's."""
     low = int(at[0]) - ORDER + 1
     here = codes[low : int(at[-1]) + 1]
-    present = np.zeros(1 << BITS, bool)
+    present = np.zeros(int(here.max()) + 1, bool)
     present[here] = True
     alphabet = np.flatnonzero(present)
     if len(alphabet) > 4096:
@@ -58,7 +58,7 @@ def _distinct(codes: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield from _distinct(codes, at[: len(at) // 2])
         yield from _distinct(codes, at[len(at) // 2 :])
         return
-    number = np.zeros(1 << BITS, np.int64)
+    number = np.zeros(len(present), np.int64)
     number[alphabet] = np.arange(len(alphabet))
     local, rel = number[here], at - low
     key = np.zeros(len(at), np.int64)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Rows of whole texts: fewer at a time bound the memory of Python workers and of the buffers to them.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Top-k filters are also applied before the shuffle for large k.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000000",
 }

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.catalog.base import AS_OF, AS_OF_SQL, STAMP, Tables, joined, query, r8, stamp
+from tidewire.catalog.aggregates import RISK_SQL, _rounded, _trend_sql
+from tidewire.catalog.base import AS_OF, AS_OF_SQL, CONFLICT, STAMP, Tables, joined, query, r8, stamp
 from tidewire.operators import limits, scans, trends
 
 
@@ -113,26 +114,28 @@ def _(t: Tables):
 
 @query(
     "srt02_trend_order",
-    """SELECT country, n, row_number() OVER (ORDER BY least(n / 50.0, 1.0) DESC, n DESC, country) AS place FROM (SELECT country, count(*) AS n FROM article GROUP BY 1)""",
-    "article",
+    f"""SELECT topic, confidence, volume_trend, row_number() OVER (ORDER BY confidence DESC, volume_trend DESC, topic) AS place
+      FROM ({_trend_sql(15, 9, "")})""",
+    "processed",
 )
 def _(t: Tables):
     from tidewire.operators.order import placed
 
-    n = t.article().groupBy("country").agg(F.count("*").alias("n"))
-    return placed(n, F.desc(F.least(F.col("n") / 50.0, F.lit(1.0))), F.desc("n"), F.col("country")).select("country", "n", "place")
+    found = _rounded(trends.topic_trends(t.processed(), AS_OF, 9, max_topics=15, min_confidence=None))
+    return placed(found, *trends.trend_order()).select("topic", "confidence", "volume_trend", "place")
 
 
 @query(
     "srt03_country_order",
-    """SELECT country, round(v, 8) AS v, row_number() OVER (ORDER BY round(v, 8) DESC, country) AS place FROM (SELECT country, avg(relevance) AS v FROM processed GROUP BY 1)""",
+    f"""SELECT country, risk_score, row_number() OVER (ORDER BY risk_score DESC, country) AS place
+      FROM (SELECT country, round({RISK_SQL}, 8) AS risk_score FROM processed GROUP BY 1 HAVING count(*) >= 3)""",
     "processed",
 )
 def _(t: Tables):
     from tidewire.operators.order import placed
 
-    v = t.processed().groupBy("country").agg(r8(F.avg("relevance")).alias("v"))
-    return placed(v, F.desc("v"), F.col("country")).select("country", "v", "place")
+    found = trends.country_risk(t.processed(), conflict_words=CONFLICT).withColumn("risk_score", r8("risk_score"))
+    return placed(found, *trends.risk_order()).select("country", "risk_score", "place")
 
 
 @query(

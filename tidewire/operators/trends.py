@@ -98,8 +98,18 @@ def topic_trends(
     return out
 
 
+def trend_order() -> list[Column]:
+    """Strongest trends first."""
+    return [F.desc("confidence"), F.desc("volume_trend"), F.col("topic")]
+
+
+def risk_order() -> list[Column]:
+    """Riskiest countries first."""
+    return [F.desc("risk_score"), F.col("country")]
+
+
 def rank_trends(trends: DataFrame) -> DataFrame:
-    return trends.orderBy(F.desc("confidence"), F.desc("volume_trend"), "topic")
+    return trends.orderBy(*trend_order())
 
 
 def related_topics(topic_rows: DataFrame, k: int = 5) -> DataFrame:

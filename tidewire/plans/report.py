@@ -25,7 +25,7 @@ def report(
     risks = risk.all_risks(articles, as_of, conflict_words, urgent_words)
     return {
         "trends": trends.rank_trends(topic_trends),
-        "countries": countries.orderBy(F.desc("risk_score"), "country"),
+        "countries": countries.orderBy(*trends.risk_order()),
         "correlations": trends.with_significance(trends.correlations(articles)),
         "risks": risks,
         "summary": risk.summary(articles, topic_trends, countries, risks, period_days),

@@ -127,3 +127,41 @@ def test_combinations_of_eleven_entities(spark):
     q = spark.createDataFrame([(1, names, ["France"])], "query_pos long, entities array<string>, countries array<string>")
     got = entity_combinations(q, datetime(2024, 1, 31))
     assert got.count() == 2**11 - 1 + 1 and got.where("country is null").first()["entities"] == names
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("cutoff", [0.3, 0.6, 0.75, 0.9, 1.0])
+def test_similar_names_equal_all_pairs(spark, cutoff):
+    rnd = random.Random(int(cutoff * 100))
+    word = lambda: "".join(rnd.choice("aAbäc ") for _ in range(rnd.randint(1, 9)))
+    texts = list({word() for _ in range(70)}) + ["", None, "aaaaaaaa" * 50]
+    names = list({word() for _ in range(50)}) + ["", None]
+    got = resolve.similar_names(
+        spark.createDataFrame([(t,) for t in texts], "text string"),
+        spark.createDataFrame([(n,) for n in names], "name string"), cutoff,
+    )
+    want = {
+        (t, n): 1.0 - _distance(t.lower(), n.lower()) / max(len(t), len(n)) for t in texts if t for n in names if n
+    }
+    want = {k: pytest.approx(v) for k, v in want.items() if v >= cutoff}
+    assert {(r["text"], r["name"]): r["similarity"] for r in got.collect()} == want
+
+
+def test_names_beyond_a_small_dimension(spark):
+    names = spark.range(5001).select(
+        F.concat(F.lit("Land"), F.lpad(F.conv(F.col("id") * 7919, 10, 36), 5, "Q")).alias("country"), F.lit(0.0).alias("priority")
+    ).withColumn("alias", F.lower("country"))
+    some = [r["country"] for r in names.orderBy("country").limit(3).collect()]
+    ents = spark.createDataFrame([(some[0],), (some[1][:4] + "#" + some[1][4:],), ("Elsewhere",)], "entity string")
+    got = {r["entity"]: r["country"] for r in resolve.resolve_countries(ents, names).collect()}
+    assert got[some[0]] == some[0] and got["Elsewhere"] is None
+    near = got[some[1][:4] + "#" + some[1][4:]]
+    assert near is not None and _distance(near.lower(), (some[1][:4] + "#" + some[1][4:]).lower()) <= 2

@@ -83,14 +83,15 @@ def test_similarity_measures(spark):
     assert [round(x, 9) for x in got] == [1.0, 1.0, 25.0, 0.0]
 
 
-def test_top_per_query_in_slices(spark, monkeypatch):
+def test_top_per_query_in_blocks(spark, monkeypatch):
     rnd = random.Random(1)
     vec = lambda: [rnd.gauss(0, 1) for _ in range(8)]
     q, c = [(i, vec()) for i in range(7)], [(i, vec()) for i in range(90)]
+    c += [(i + 90, v) for i, v in c] + [(999, None)]
     qd = spark.createDataFrame(q, "query_id long, embedding array<double>")
     cd = spark.createDataFrame(c, "id long, embedding array<double>")
     whole = sorted(tuple(r) for r in vectors.similar_per_query(qd, cd, 4).select("query_id", "id", "rank").collect())
-    monkeypatch.setattr(vectors, "MAX_QUERY_CELLS", 16)
+    monkeypatch.setattr(vectors, "BLOCK_CELLS", 100)
     cut = sorted(tuple(r) for r in vectors.similar_per_query(qd, cd, 4).select("query_id", "id", "rank").collect())
     assert whole == cut and len(whole) == 28
 
@@ -99,10 +100,26 @@ def test_top_per_query_in_slices(spark, monkeypatch):
         return d / (sum(a * a for a in x) ** 0.5 * sum(b * b for b in y) ** 0.5)
 
     for i, v in q:
-        best = sorted(c, key=lambda r: -cos(v, r[1]))[:4]
+        best = sorted(c[:-1], key=lambda r: (-round(cos(v, r[1]), 12), r[0]))[:4]
         assert [b[0] for b in best] == [r[1] for r in sorted(whole, key=lambda r: (r[0], r[2])) if r[0] == i]
 
 
+def test_near_per_query_recall(spark):
+    rnd = random.Random(3)
+    centres = [[rnd.gauss(0, 1) for _ in range(32)] for _ in range(12)]
+    c = [(i, [x + rnd.gauss(0, 0.55) for x in centres[i % 12]]) for i in range(600)] + [(600, None), (601, [0.0] * 32)]
+    cd = spark.createDataFrame(c, "id long, embedding array<double>")
+    qd = cd.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    exact = vectors.similar_per_query(qd, cd, 1000, 0.7)
+    want = {(r["query_id"], r["id"]): r["score"] for r in exact.collect()}
+    near = vectors.near_per_query(qd, cd, 0.7, 1000)
+    got = {(r["query_id"], r["id"]): r["confidence"] for r in near.collect()}
+    assert got.keys() <= want.keys() and len(want) > 500
+    assert len(got) >= 0.95 * len(want)
+    assert all(abs(want[pair] - got[pair]) < 1e-9 for pair in got)
+    assert vectors.near_per_query(qd.limit(0), cd, 0.7).count() == 0
+
+
 def test_subscriptions_of_many_clauses(spark):
     from tidewire.operators import filters
 

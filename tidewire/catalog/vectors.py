@@ -89,6 +89,13 @@ def _(t: Tables):
     return got.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("vec03_near_per_query")
+def _(t: Tables):
+    """Signs of random planes find the pairs, so SQL has no equal; its recall is tested against the exact form."""
+    asked = _vectors(t).where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return vec.near_per_query(asked, _vectors(t), threshold=0.4, limit=10, bits=6)
+
+
 @query(
     "vec07_cross_reference",
     f"""WITH {_CENT} SELECT query_id, count(*) FILTER (r <= 5 AND s > 0.3) AS similar_events FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM (

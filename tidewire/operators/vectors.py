@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewire.functions.text import words_of
 from tidewire.operators.scans import top_k
 
-MAX_QUERY_CELLS = 4_000_000  # query vectors held by a task: rows times dimensions
+BLOCK_CELLS = 4_000_000  # numbers in a block of vectors, and scores held at once by a task
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -76,28 +76,61 @@ def similar_per_query(
 ) -> DataFrame:
     """(query, candidate, score, rank): the k best candidates by cosine for every query.
 
-    Candidates stay where they are. A task multiplies each Arrow batch with the
-    query matrix and passes on at most k rows per query and batch. Query sets
-    beyond the size one task may hold are worked off in slices, one pass over
-    the candidates each.
+    A product of blocks: queries and candidates are dealt to blocks of about ``BLOCK_CELLS`` numbers by a hash
+    of their keys, each pair of blocks is one matrix product in one task, and it passes on at most k rows per
+    query. Scores are rounded to 12 decimals, so that ties do not depend on the blocks; they go by key. Rows
+    without a vector match nothing.
     """
-    dims = queries.select(F.max(F.size(vector)).alias("d")).first()["d"]
-    qt = queries.schema[query_key].dataType.simpleString()
-    kt = candidates.schema[key].dataType.simpleString()
-    schema = f"{query_key} {qt}, {key} {kt}, score double"
-    if not dims:
-        return candidates.sparkSession.createDataFrame([], schema + ", rank int")
-    per_slice = max(1, MAX_QUERY_CELLS // dims)
-    slices = -(-queries.count() // per_slice)
-    found = None
-    for part in range(slices):
-        chosen = queries.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == part)
-        rows = chosen.select(query_key, vector).toPandas()
-        ids = rows[query_key].tolist()
-        matrix = _unit(np.array(rows[vector].tolist(), dtype=np.float64).reshape(len(rows), -1))
-        hits = _scan(candidates, ids, matrix, k, threshold, query_key, key, vector, schema)
-        found = hits if found is None else found.unionByName(hits)
-    return top_k(found, [query_key], k, F.desc("score"), F.col(key))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("_q"), F.col(vector).alias("_v"))
+    known = candidates.where(F.col(vector).isNotNull()).select(F.col(key).alias("_k"), F.col(vector).alias("_v"))
+    asked_blocks, known_blocks = _blocks(asked), _blocks(known)
+    left = asked.withColumn("_qb", _block("_q", asked_blocks)).withColumn("_kb", _every(known_blocks))
+    right = known.withColumn("_kb", _block("_k", known_blocks)).withColumn("_qb", _every(asked_blocks))
+    qt, kt = (df.schema[c].dataType.simpleString() for df, c in ((queries, query_key), (candidates, key)))
+
+    def best(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or known.empty:
+            return pd.DataFrame({"_q": [], "_k": [], "score": []})
+        # Rows by key: a stable order by score then leaves ties in the order of the keys.
+        known = known.sort_values("_k", kind="stable")
+        keys, m = known["_k"].to_numpy(), _unit(np.stack(known["_v"].to_numpy()).astype(np.float64))
+        parts = []
+        step = max(1, BLOCK_CELLS // len(known))
+        for at in range(0, len(asked), step):
+            some = asked.iloc[at : at + step]
+            scores = np.round(_unit(np.stack(some["_v"].to_numpy()).astype(np.float64)) @ m.T, 12)
+            for qid, s in zip(some["_q"], scores):
+                if threshold is not None:
+                    pick = np.nonzero(s > threshold)[0]
+                elif len(s) > k:
+                    pick = np.nonzero(s >= np.partition(s, len(s) - k)[len(s) - k])[0]
+                else:
+                    pick = np.arange(len(s))
+                pick = pick[np.argsort(-s[pick], kind="stable")][:k]
+                parts.append(pd.DataFrame({"_q": [qid] * len(pick), "_k": keys[pick], "score": s[pick]}))
+        return pd.concat(parts)
+
+    hits = (
+        left.groupBy("_qb", "_kb")
+        .cogroup(right.groupBy("_qb", "_kb"))
+        .applyInPandas(best, f"_q {qt}, _k {kt}, score double")
+        .select(F.col("_q").alias(query_key), F.col("_k").alias(key), "score")
+    )
+    return top_k(hits, [query_key], k, F.desc("score"), F.col(key))
+
+
+def _blocks(df: DataFrame) -> int:
+    """Blocks of about ``BLOCK_CELLS`` numbers that hold the vectors."""
+    cells = df.agg(F.sum(F.size("_v"))).first()[0] or 0
+    return int(-(-cells // BLOCK_CELLS)) or 1
+
+
+def _block(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def _every(blocks: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -105,25 +138,45 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def _scan(candidates, ids, matrix, k, threshold, query_key, key, vector, schema) -> DataFrame:
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            rows = rows[rows[vector].notna()]
-            if rows.empty or not ids:
-                continue
-            vecs = _unit(np.array(rows[vector].tolist(), dtype=np.float64))
-            scores = matrix @ vecs.T
-            keys = rows[key].to_numpy()
-            for i, qid in enumerate(ids):
-                # Ties at the cut are all passed on, so that the final rank decides.
-                s = scores[i]
-                at = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                pick = np.nonzero(s >= at - 1e-12)[0]
-                if threshold is not None:
-                    pick = pick[s[pick] > threshold]
-                yield pd.DataFrame({query_key: [qid] * len(pick), key: keys[pick], "score": s[pick]})
-
-    return candidates.select(key, vector).mapInPandas(best, schema)
+def near_per_query(
+    queries: DataFrame, candidates: DataFrame, threshold: float = 0.7, limit: int = 10, bits: int = 8,
+    recall: float = 0.95, seed: int = 42, query_key: str = "query_id", key: str = "id", vector: str = "embedding",
+) -> DataFrame:
+    """(query, candidate, distance, confidence, rank): per query the nearest within 1 - ``threshold``, by signs.
+
+    For many queries against many candidates, where the product of all blocks is too much. Every vector gets
+    one key of ``bits`` signs for each of several sets of random planes; query and candidate meet where a key
+    is equal, and each distinct pair that meets is verified by its exact cosine. A pair at the threshold
+    shares all signs of a set with p = (1 - angle / pi) ^ bits, and the number of sets is such that it meets
+    with probability ``recall``; nearer pairs meet more often. More ``bits`` mean fewer pairs to verify and
+    more sets. Vectors without length or null match nothing.
+    """
+    if not 0 < threshold < 1:
+        raise ValueError("threshold is between 0 and 1")
+    p = (1 - math.acos(threshold) / math.pi) ** bits
+    sets = math.ceil(math.log(1 - recall) / math.log(1 - p))
+
+    @F.pandas_udf("array<long>")
+    def signs(batch: pd.Series) -> pd.Series:
+        vecs = np.stack(batch.to_numpy()).astype(np.float64)
+        planes = np.random.default_rng(seed).standard_normal((vecs.shape[1], sets * bits))
+        on = (vecs @ planes > 0).reshape(len(vecs), sets, bits)
+        return pd.Series(list((on << np.arange(bits)).sum(axis=2).astype(np.int64)))
+
+    def keyed(df: DataFrame, name: str, as_: str) -> tuple[DataFrame, DataFrame]:
+        rows = df.where(norm(F.col(vector)) > 0).select(F.col(name).alias(as_), F.col(vector).alias(as_ + "v"))
+        return rows, rows.select(as_, F.posexplode(signs(as_ + "v")).alias("_set", "_signs"))
+
+    asked, asked_keys = keyed(queries, query_key, "_q")
+    known, known_keys = keyed(candidates, key, "_k")
+    pairs = asked_keys.join(known_keys, ["_set", "_signs"]).select("_q", "_k").distinct()
+    near = (
+        pairs.join(asked, "_q").join(known, "_k")
+        .withColumn("distance", 1.0 - cosine(F.col("_qv"), F.col("_kv")))
+        .where(F.col("distance") < 1.0 - threshold)
+        .select(F.col("_q").alias(query_key), F.col("_k").alias(key), "distance", (1.0 - F.col("distance")).alias("confidence"))
+    )
+    return top_k(near, [query_key], limit, F.asc("distance"), F.col(key))
 
 
 def cluster(

@@ -37,6 +37,28 @@ def test_sliding_window_equals_loop(spark, seed):
         assert counts[pos] == sum(c2 == c and 0 <= (ts - t2).total_seconds() <= 60 for _, c2, t2 in rows)
 
 
+@pytest.mark.parametrize("choices", [(0.5,), (0.0, 7.0, 20.0, 30.0)])
+def test_one_client_over_many_blocks(spark, monkeypatch, choices):
+    """A client in one unbroken overload: its blocks are replayed until the times handed on stand."""
+    monkeypatch.setattr(limits, "BLOCK_ROWS", 10)
+    rnd = random.Random(5)
+    rows, t = [], 0.0
+    for i in range(500):
+        t += rnd.choice(choices)
+        rows.append((i, "hot" if i % 3 == 0 else f"c{i}", T0 + timedelta(seconds=t)))
+    df = spark.createDataFrame(rows, "pos long, client string, ts timestamp")
+    taken, want = {}, {}
+    for pos, c, ts in rows:
+        q = taken.setdefault(c, deque())
+        while q and (ts - q[0]).total_seconds() > 5:
+            q.popleft()
+        want[pos] = len(q) < 2
+        if want[pos]:
+            q.append(ts)
+    got = limits.sliding_window_decisions(df, seconds=5, limit=2, blocks=12)
+    assert {r["pos"]: r["allowed"] for r in got.collect()} == want
+
+
 def test_min_interval_equals_loop(spark):
     rows = requests(3)
     df = spark.createDataFrame(rows, "pos long, source string, ts timestamp")

@@ -6,12 +6,14 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewire.operators.scans import earlier
 from tidewire.session import cut_lineage
 
+BLOCK_ROWS = 50_000  # a burst of fewer requests is replayed as one block
+
 
 def window_counts(
     requests: DataFrame, client: str = "client", ts: str = "ts", tie: str = "pos",
@@ -66,13 +68,13 @@ def bursts(requests: DataFrame, client: str, ts: str, gap: float, width: int = 3
 
 def sliding_window_decisions(
     requests: DataFrame, client: str = "client", ts: str = "ts", tie: str = "pos",
-    seconds: int = 60, limit: int = 1000,
+    seconds: int = 60, limit: int = 1000, blocks: int = 64,
 ) -> DataFrame:
     """Exact decision per request: at most ``limit`` accepted ones in any window.
 
     Rejected requests use no quota, so decisions inside a busy stretch depend on
     each other. Stretches without any over-full window are accepted as a set;
-    only the others are replayed, streamed in order with ``limit`` times kept.
+    only the others are replayed, in up to ``blocks`` blocks of time each.
     """
     counted = cut_lineage(
         window_counts(requests.select(client, tie, ts), client, ts, tie, seconds, limit).drop(
@@ -83,20 +85,24 @@ def sliding_window_decisions(
     hot = cut.groupBy(client, "burst").agg(F.bool_or(~F.col("within_limit")).alias("hot"))
     marked = cut.join(hot, [client, "burst"]).drop("within_limit")
     calm = marked.where("not hot").select(client, tie, ts, F.lit(True).alias("allowed"))
+    span = seconds * 1_000_000
 
-    def accept(taken: deque, now: int) -> bool:
-        while taken and now - taken[0] > seconds * 1_000_000:
+    def forget(taken: deque, now: int) -> None:
+        while taken and now - taken[0] > span:
             taken.popleft()
+
+    def accept(taken: deque, now: int) -> bool:
+        forget(taken, now)
         if len(taken) >= limit:
             return False
         taken.append(now)
         return True
 
-    return calm.unionByName(_replayed(marked.where("hot"), accept, client, ts, tie))
+    return calm.unionByName(_replayed(marked.where("hot"), accept, forget, client, ts, tie, span, blocks))
 
 
 def min_interval_decisions(
-    requests: DataFrame, per_minute: int, source: str = "source", ts: str = "ts", tie: str = "pos"
+    requests: DataFrame, per_minute: int, source: str = "source", ts: str = "ts", tie: str = "pos", blocks: int = 64,
 ) -> DataFrame:
     """Exact decision per request: at least ``60 / per_minute`` seconds since the last accepted one."""
     gap = 60.0 / per_minute
@@ -105,43 +111,135 @@ def min_interval_decisions(
     marked = cut.join(sizes, [source, "burst"])
     calm = marked.where("n = 1").select(source, tie, ts, F.lit(True).alias("allowed"))
 
+    def forget(last: deque, now: int) -> None:
+        if last and now - last[0] >= gap * 1_000_000:
+            last.clear()
+
     def accept(last: deque, now: int) -> bool:
-        if last and now - last[0] < gap * 1_000_000:
+        forget(last, now)
+        if last:
             return False
-        last.clear()
         last.append(now)
         return True
 
-    return calm.unionByName(_replayed(marked.where("n > 1"), accept, source, ts, tie))
+    return calm.unionByName(
+        _replayed(marked.where("n > 1"), accept, forget, source, ts, tie, int(gap * 1e6), blocks)
+    )
+
+
+Accept = Callable[[deque, int], bool]
+Forget = Callable[[deque, int], None]
 
 
-def _replayed(rows: DataFrame, accept: Callable[[deque, int], bool], key: str, ts: str, tie: str) -> DataFrame:
-    """Ask ``accept`` for every row of each burst in time order.
+def _replayed(
+    rows: DataFrame, accept: Accept, forget: Forget, key: str, ts: str, tie: str, span: int, blocks: int
+) -> DataFrame:
+    """Ask ``accept`` for every row of each burst in time order, a burst in blocks of time at once.
 
-    Bursts are hashed over the partitions and sorted there; a partition is read
-    as a stream of batches, and only the accepted times of the current burst
-    are held.
+    The first round replays each block as if nothing had been accepted before it. A block hands the times
+    that still count at its end to the next one, and each later round replays only the blocks to which other
+    times came than those they were replayed with. A block's decisions stand when nothing new comes to it:
+    after as many rounds as blocks at most, and after a few where decisions soon cease to depend on what was
+    before. A block is read as a stream, and only its accepted times that still count are held.
     """
-    kt = rows.schema[key].dataType.simpleString()
-    tt = rows.schema[tie].dataType.simpleString()
+    ends = rows.groupBy(key, "burst").agg(F.max(F.unix_micros(ts)).alias("_end"), F.count("*").alias("_n"))
+    parts = F.least(F.lit(blocks), F.ceil(F.col("_n") / BLOCK_ROWS))
+    width = F.greatest(F.ceil((F.col("_end") - F.col("burst") + 1) / parts), F.lit(4 * span + 1)).cast("long")
+    cut = cut_lineage(
+        rows.join(ends.select(key, "burst", width.alias("_width")), [key, "burst"])
+        .withColumn("_us", F.unix_micros(ts))
+        .withColumn("_block", F.floor((F.col("_us") - F.col("burst")) / F.col("_width")).cast("int"))
+        .withColumn("_to", F.col("burst") + (F.col("_block") + 1) * F.col("_width"))
+        .select(key, "burst", "_block", "_to", tie, ts, "_us")
+    )
+    nothing = F.array().cast("array<long>")
+    places = [key, "burst", "_block"]
+    entries = cut.select(*places).distinct().withColumn("_entry", nothing)
+    handed, done, number = None, [], 0
+    while True:
+        replayed = cut_lineage(_replay(cut, entries, accept, forget, key, ts, tie).withColumn("_round", F.lit(number)))
+        done.append(replayed)
+        latest = replayed.where("_exit IS NOT NULL").select(*places, "_entry", "_exit", "_round")
+        if handed is not None:
+            latest = _latest(handed.unionByName(latest), places)
+        handed = cut_lineage(latest)
+        before = F.lag("_exit").over(W.partitionBy(key, "burst").orderBy("_block"))
+        now = handed.withColumn("_now", F.coalesce(before, nothing))
+        changed = cut_lineage(now.where("_now != _entry").select(*places, F.col("_now").alias("_entry")))
+        if changed.isEmpty():
+            break
+        entries, number = changed, number + 1
+    standing = handed.select(*places, "_round")
+    decisions = None
+    for part in done:
+        part = part.where("_exit IS NULL").join(standing, [*places, "_round"]).select(key, tie, ts, "allowed")
+        decisions = part if decisions is None else decisions.unionByName(part)
+    return decisions
+
+
+def _latest(rounds: DataFrame, places: list[str]) -> DataFrame:
+    newest = F.max_by(F.struct("_entry", "_exit", "_round"), "_round").alias("n")
+    return rounds.groupBy(*places).agg(newest).select(*places, "n.*")
+
+
+def _replay(
+    cut: DataFrame, entries: DataFrame, accept: Accept, forget: Forget, key: str, ts: str, tie: str
+) -> DataFrame:
+    """Decisions of the rows of the blocks in ``entries``, and a row per block with its entry and exit times."""
+    places = [key, "burst", "_block"]
+    types = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
+    # The entry comes as the first row of its block, before every request.
+    first = entries.join(cut.groupBy(*places).agg(F.min("_to").alias("_to")), places).select(
+        *places, "_to", F.lit(None).cast(types[tie]).alias(tie), F.lit(None).cast(types[ts]).alias(ts),
+        F.lit(None).cast("long").alias("_us"), "_entry",
+    )
+    asked = cut.join(entries.select(*places), places, "left_semi").withColumn("_entry", F.lit(None).cast("array<long>"))
     ordered = (
-        rows.select(key, "burst", tie, ts, F.unix_micros(ts).alias("_us"))
-        .repartition(key, "burst")
-        .sortWithinPartitions(key, "burst", "_us", tie)
+        asked.unionByName(first)
+        .repartition(*places)
+        .sortWithinPartitions(*places, F.asc_nulls_first("_us"), tie)
+    )
+    schema = (
+        f"{key} {types[key]}, burst long, _block int, {tie} {types[tie]}, {ts} {types[ts]}, allowed boolean, "
+        "_entry array<long>, _exit array<long>"
     )
+    names = [f.split()[0] for f in schema.split(", ")]
+    at = {c: i for i, c in enumerate(ordered.columns)}
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, state = None, deque()
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = end = None
+        entry, state = [], deque()
+
+        def left() -> tuple:
+            forget(state, end)
+            return (*here, None, None, None, entry, list(state))
+
+        out_schema = None
         for batch in batches:
-            allowed = []
-            for k, b, now in zip(batch[key], batch["burst"], batch["_us"]):
-                if (k, b) != here:
-                    here = (k, b)
-                    state.clear()
-                allowed.append(accept(state, now))
-            yield batch[[key, tie, ts]].assign(allowed=allowed)
-
-    return ordered.mapInPandas(replay, f"{key} {kt}, {tie} {tt}, {ts} timestamp, allowed boolean")
+            fields = {f.name: f.type for f in batch.schema}
+            out_schema = pa.schema(
+                [(n, pa.bool_() if n == "allowed" else fields["_entry" if n == "_exit" else n]) for n in names]
+            )
+            rows = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                now = row[at["_us"]]
+                if now is None:
+                    if here is not None:
+                        rows.append(left())
+                    here, end = tuple(row[at[c]] for c in places), row[at["_to"]]
+                    entry, state = row[at["_entry"]], deque(row[at["_entry"]])
+                else:
+                    rows.append((*here, row[at[tie]], row[at[ts]], accept(state, now), None, None))
+            yield _batch(rows, out_schema)
+        if here is not None:
+            yield _batch([left()], out_schema)
+
+    return ordered.mapInArrow(replay, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
 def page(df: DataFrame, number: int, size: int = 50, created: str = "created_at", key: str = "id") -> DataFrame:

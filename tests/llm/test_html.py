@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -36,6 +37,25 @@ def test_parse_forgives():
     assert deep[-1].text.startswith("x") and len(deep) == 3002
 
 
+def test_quotes_count_only_where_a_value_starts():
+    texts = lambda page: [x.text for x in parse(page) if x.tag == "#text"]
+    page = "<p title=don't>Hello all</p><p>It's ok & \"fine\"</p><p class='a > b'>End</p>"
+    assert texts(page) == ["Hello all", "It's ok & \"fine\"", "End"]
+    assert texts('<p title="never closed>One</p><p>Two</p>') == ["One", "Two"]
+    assert texts("1 < 2 <3 <p>a</p><!-- x > y --><p/>b<!doctype x><br/>c<p x = y/z>d</p><p") == ["1 < 2 <3", "a", "b c", "d"]
+    assert texts("a<!-- never closed <p>b</p>") == ["a"]
+    assert texts("<style>p</styles></style >x<script>if (a<b) '</p>'</script>y") == ["xy"]
+    tokens = [x.tokens for x in parse("<div id=a'B class=\"sideBar&amp;x\" data-class='z' role = main>")]
+    assert tokens[1] == {"a", "b", "side", "bar", "x", "main"}
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a '", "<", "<!--", "<a b=\"", "<p ", "</", "<a b='>", "<textarea>", "<style></styl>"])
+def test_malformed_pages_take_linear_time(unit):
+    start = time.perf_counter()
+    parse("<p>first</p>" + unit * (400_000 // len(unit)))
+    assert time.perf_counter() - start < 10
+
+
 def test_held_out_pages(model):
     maker = _Maker(["Other words make this. Nothing is as it was, they say. Trees and rivers. Read it again, now."], seed=123)
     outside = {w for f, ws in FAMILIES.items() if f not in ("main", "header") for w in ws.split()} - set(FAMILIES["main"].split())

@@ -23,10 +23,12 @@ ENDS = {
 #: An open element that keeps what lies outside it from being ended.
 FENCE = frozenset("body html article aside section main div table ul ol dl nav header footer form td th blockquote".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
-_ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
+#: One step inside a tag: blanks and slashes, an attribute name, or the sign before a value.
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s=/>]*")
+_IS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _PART = re.compile(r"[a-z]+|[0-9]+")
 _BLANK = re.compile(r"\s+")
 
@@ -48,16 +50,89 @@ class Node:
         return _BLANK.sub(" ", html.unescape("".join(self.texts))).strip()
 
 
-def attribute_tokens(attributes: str) -> frozenset[str]:
+def attribute_tokens(attributes: list[tuple[str, str]]) -> frozenset[str]:
     """Lower-case parts of class, id, role, itemprop and aria-label; camel case is cut."""
     out: set[str] = set()
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+    for name, value in attributes:
         if name.lower() in ("class", "id", "role", "itemprop", "aria-label"):
-            cut = re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c)
+            cut = re.sub(r"([a-z])([A-Z])", r"\1 \2", html.unescape(value))
             out.update(_PART.findall(cut.lower()))
     return frozenset(out)
 
 
+class _Scanner:
+    """Finds the tags of a page from left to right.
+
+    Quotes count only where a value starts, so an apostrophe inside an unquoted value is part of it. A quote
+    that never ends is an ordinary character: its tag ends at the next ``>``. What the rest of the page does
+    not hold is looked for once only, so the work is linear in the page.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.gone: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Next place of ``what``, -1 if there is none from here on."""
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag(self, at: int) -> tuple[int, bool, str, list[tuple[str, str]], bool] | None:
+        """(end, closing, name, attributes, self-closing) of what starts at the ``<`` at ``at``.
+
+        The name is empty for comments and declarations; None where the sign is text. An end of -1 means
+        that the page ends inside the tag.
+        """
+        page = self.page
+        if page.startswith("<!--", at):
+            if page.startswith(("<!-->", "<!--->"), at):
+                return page.index(">", at) + 1, False, "", [], False
+            end = self.find("-->", at + 4)
+            return (end + 3 if end >= 0 else -1), False, "", [], False
+        if page.startswith(("<!", "<?"), at):
+            end = self.find(">", at)
+            return (end + 1 if end >= 0 else -1), False, "", [], False
+        m = _NAME.match(page, at + 1)
+        if not m:
+            return None
+        if self.find(">", m.end()) < 0:
+            return -1, False, "", [], False
+        at, n, found = m.end(), len(page), []
+        while True:
+            at = _GAP.match(page, at).end()
+            if at >= n:
+                return -1, False, "", [], False
+            if page[at] == ">":
+                return at + 1, bool(m[1]), m[2].lower(), found, page[at - 1] == "/"
+            key = _KEY.match(page, at)
+            at = key.end()
+            sign = _IS.match(page, at)
+            if not sign:
+                found.append((key[0], ""))
+                continue
+            at = sign.end()
+            quote = page[at : at + 1]
+            if quote in ('"', "'") and quote:
+                end = self.find(quote, at + 1)
+                if end < 0:
+                    end = self.find(">", at)
+                    if end < 0:
+                        return -1, False, "", [], False
+                    found.append((key[0], page[at + 1 : end]))
+                    at = end
+                else:
+                    found.append((key[0], page[at + 1 : end]))
+                    at = end + 1
+            else:
+                value = _BARE.match(page, at)
+                found.append((key[0], value[0]))
+                at = value.end()
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first; node 0 is the root. Reads each character of the page once.
 
@@ -78,24 +153,33 @@ def parse(page: str) -> list[Node]:
         if anchors:
             block.linked += len(raw)
 
-    at, n = 0, len(page)
+    scan, raw_end = _Scanner(page), {}
+    at, n, text_from = 0, len(page), 0
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            # A tag cut off at the end of the page is no text.
-            cut = re.search(r"</?[A-Za-z!][^<>]*\Z", page[at:])
-            write(page[at : at + cut.start()] if cut else page[at:])
+        start = scan.find("<", at)
+        found = scan.tag(start) if start >= 0 else None
+        if start >= 0 and found is None:
+            at = start + 1
+            continue
+        stop = start if start >= 0 else n
+        if stop > text_from:
+            write(page[text_from:stop])
+        # A tag cut off at the end of the page is no text.
+        if start < 0 or found[0] < 0:
+            text_from = n
             break
-        if m.start() > at:
-            write(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        at, closing, tag, attributes, alone = found
+        text_from = at
+        if not tag:
             continue
-        closing, tag = bool(m[1]), m[2].lower()
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not closing and not alone:
+                if tag not in raw_end:
+                    raw_end[tag] = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
+                end = raw_end[tag] and raw_end[tag].search(page, at)
+                if not end:
+                    raw_end[tag] = None
+                at = text_from = end.end() if end else n
             if tag not in ("script", "style", "noscript", "template"):
                 block = None
             continue
@@ -126,7 +210,9 @@ def parse(page: str) -> list[Node]:
                 break
             if open_tag in FENCE:
                 break
-        nodes.append(Node(tag, stack[-1], len(stack), attribute_tokens(m[3]) if "=" in m[3] else frozenset()))
-        if not m[3].endswith("/"):
+        nodes.append(Node(tag, stack[-1], len(stack), attribute_tokens(attributes) if attributes else frozenset()))
+        if not alone:
             stack.append(len(nodes) - 1)
+    if text_from < n:
+        write(page[text_from:])
     return nodes

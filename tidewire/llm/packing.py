@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.llm.tokens import encoder
+from tidewire.llm.tokens import encoder, give_back
 from tidewire.session import shared_folder
 
 #: Terms of a seed that look up postings: those with the highest BM25 weight.
@@ -74,10 +74,12 @@ class Bm25Shard:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-        ids = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(docs)), sizes)
-        cells, tf = np.unique(doc * len(idf) + ids, return_counts=True)
-        self.doc, self.term = cells // len(idf), cells % len(idf)
+        cells = np.repeat(np.arange(len(docs)) * len(idf), sizes)
+        if docs:
+            cells += np.concatenate(docs)
+        cells, tf = np.unique(cells, return_counts=True)
+        self.doc, self.term = (cells // len(idf)).astype(np.int32), (cells % len(idf)).astype(np.int32)
+        del cells
         norm = K1 * (1 - B + B * sizes[self.doc] / max(mean_length, 1.0))
         self.weight = (idf[self.term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
         self.rows = np.searchsorted(self.doc, np.arange(len(docs) + 1))
@@ -183,19 +185,22 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sha
     )
     totals = rows.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
     idf_of = {int(t): float(np.log1p((totals[0] - f + 0.5) / (f + 0.5))) for t, f in frequency}
+    terms = max(idf_of, default=0) + 1
     idf_bytes = spark.sparkContext.broadcast(idf_of)
     mean_length = float(totals[1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
-        idf = np.zeros(enc.vocab_size)
+        # A worker process that encoded before has no more use for its pieces.
+        encoder.cache_clear()
+        give_back()
+        idf = np.zeros(terms)
         idf[list(idf_bytes.value)] = list(idf_bytes.value.values())
         out = Windows(size, TaskContext.get().partitionId() << 40)
         names, held, n_ids = [], [], 0
         for batch in batches:
-            for name, data in zip(batch["doc_id"], batch["data"]):
+            for name, data, n in zip(batch["doc_id"], batch["data"], batch["n"]):
                 names.append(None if pd.isna(name) else int(name))
-                held.append(np.frombuffer(data, enc.dtype))
+                held.append(np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4"))
                 n_ids += len(held[-1])
                 if n_ids >= shard_ids:
                     pack_shard(names, held, idf, mean_length, out)
@@ -203,11 +208,13 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, sha
                     yield out.taken()
         pack_shard(names, held, idf, mean_length, out)
         yield out.taken()
+        del names, held, out
+        give_back()
 
     return (
-        rows.select("doc_id", "place", "data")
+        rows.select("doc_id", "place", "data", "n")
         .repartitionByRange("place", "doc_id", F.xxhash64("data"))
         .sortWithinPartitions("place", "doc_id", F.xxhash64("data"))
-        .select("doc_id", "data")
+        .select("doc_id", "data", "n")
         .mapInPandas(run, _PIECE_SCHEMA)
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import os
 import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 #: Cached pieces per worker process (about 100 MB); beyond it the cache starts anew.
 CACHE_PIECES = 600_000
@@ -113,3 +116,12 @@ class PieceEncoder:
 def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process and file."""
     return PieceEncoder(path)
+
+
+def give_back() -> None:
+    """Hand freed memory of this worker process back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -104,3 +104,42 @@ def test_position_equals_row_number(spark, width):
     got = position(spark.createDataFrame(rows, "k string, o long, t long"), ["k"], "o", "t", width=width).collect()
     for r in got:
         assert r["position"] == 1 + sum(k == r["k"] and (o, t) < (r["o"], r["t"]) for k, o, t in rows)
+
+
+def test_rounds_write_only_what_fell(spark, monkeypatch):
+    written = []
+
+    def seen(df):
+        out = cut(df)
+        if {"component", "cluster"} & set(out.columns):
+            written.append(out.count())
+        return out
+
+    cut = dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", seen)
+    # One entity names most rows, and a chain of a few takes more rounds.
+    rows = [(1, i, ["hot"], True) for i in range(200)] + [(1, 200 + i, [f"e{i}", f"e{i + 1}"], True) for i in range(40)]
+    for operator, want in ((dedup.entity_components, {0: 200, 200: 40}), (dedup.cluster_flashpoints, {0: 200, 200: 40})):
+        written.clear()
+        got = operator(frame(spark, rows))
+        label = got.columns[-1]
+        assert {r[label]: r["count"] for r in got.groupBy(label).count().collect()} == want
+        # The start, the rounds, nothing in the last one, and the result.
+        start, *rounds, result = written
+        assert (start, result) == (240, 240) and rounds[-1] == 0 and len(rounds) <= 9
+        assert rounds == sorted(rounds, reverse=True) and rounds[1] < 40
+
+
+def test_components_equal_plain_search(spark):
+    rnd = random.Random(5)
+    rows = [(r, p, rnd.sample([f"n{i}" for i in range(14)], rnd.randint(0, 2)), True) for r in range(9) for p in range(rnd.randint(1, 14))]
+    want = {}
+    for run in range(9):
+        mine = {p: set(e) for r, p, e, _ in rows if r == run}
+        label = {p: p for p in mine}
+        for _ in mine:
+            for p in mine:
+                label[p] = min([label[p], *(label[q] for q in mine if mine[p] & mine[q])])
+        want |= {(run, p): c for p, c in label.items()}
+    got = {(r["run_id"], r["pos"]): r["component"] for r in dedup.entity_components(frame(spark, rows)).collect()}
+    assert got == want

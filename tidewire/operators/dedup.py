@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewire.operators.scans import earlier
@@ -90,6 +93,7 @@ def cluster_flashpoints(df: DataFrame, run: str = "run_id") -> DataFrame:
     links = cut_lineage(
         df.select(run, "pos", F.explode(F.array_distinct("entities")).alias("entity"))
     )
+    settled = []
     while True:
         labels = _spread_down(rows, links, run)
         founders = labels.where(F.col("cluster") == F.col("pos")).join(
@@ -99,36 +103,68 @@ def cluster_flashpoints(df: DataFrame, run: str = "run_id") -> DataFrame:
         repeats = cut_lineage(
             founders.join(first, [run, "combo"]).where("pos > first").select(run, "pos")
         )
-        if not repeats.take(1):
-            return labels.where(F.col("cluster").isNotNull())
+        if repeats.isEmpty():
+            return reduce(DataFrame.unionByName, settled, labels)
+        # Only runs with a repeated combination are labelled again.
+        again = repeats.select(run).distinct()
+        settled.append(labels.join(again, run, "left_anti"))
         rows = cut_lineage(
-            rows.join(repeats.withColumn("_repeat", F.lit(True)), [run, "pos"], "left")
+            rows.join(again, run, "left_semi")
+            .join(repeats.withColumn("_repeat", F.lit(True)), [run, "pos"], "left")
             .withColumn("opens", F.col("opens") & F.col("_repeat").isNull())
             .drop("_repeat")
         )
+        links = cut_lineage(links.join(again, run, "left_semi"))
 
 
-def _spread_down(rows: DataFrame, links: DataFrame, run: str) -> DataFrame:
-    labels = cut_lineage(
-        rows.select(run, "pos", F.when(F.col("opens"), F.col("pos")).alias("cluster"))
-    )
+def _lowered(known: DataFrame, offered: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(keys, label) of the keys whose least offered label is below all that are known of them, written."""
+    new = offered.groupBy(*keys).agg(F.min(label).alias("_new"))
+    # Both uses read the same columns, so Spark computes the offers once; few offers are broadcast to what is known.
+    stay = known.join(new, keys).where(F.col(label) <= F.col("_new")).select(*keys)
+    return cut_lineage(new.join(stay, keys, "left_anti").select(*keys, F.col("_new").alias(label)))
+
+
+def _spread(
+    start: DataFrame, offers: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], label: str
+) -> DataFrame:
+    """Least label of each key that ``offers`` leads to from the labels of ``start``.
+
+    ``offers(changed, known)`` gives the labels that follow from changed ones. A round writes only labels
+    that fell, and only these are joined again in the next one. ``known`` keeps the labels of all
+    rounds; those that fell since are reachable still, so they do no harm.
+    """
+    known = changed = cut_lineage(start)
     while True:
-        named = links.join(labels, [run, "pos"])
-        seen = earlier(named, [run, "entity"], "pos", "cluster", "min", "low", 4096)
-        low = seen.groupBy(run, "pos").agg(F.min("low").alias("low"))
-        # A label is the position of a row, and that row's own label is reachable
-        # too; taking it doubles the distance covered per round.
-        jump = labels.select(run, F.col("pos").alias("cluster"), F.col("cluster").alias("jump"))
-        moved = cut_lineage(
-            labels.join(low, [run, "pos"], "left")
-            .select(run, "pos", F.col("cluster").alias("old"), F.least("cluster", "low").alias("cluster"))
-            .join(jump, [run, "cluster"], "left")
-            .select(run, "pos", "old", F.least("cluster", "jump").alias("cluster"))
-        )
-        stable = not moved.where(~F.col("old").eqNullSafe(F.col("cluster"))).take(1)
-        labels = moved.drop("old")
-        if stable:
-            return labels
+        changed = _lowered(known, offers(changed, known), keys, label)
+        if changed.isEmpty():
+            return cut_lineage(known.groupBy(*keys).agg(F.min(label).alias(label)))
+        known = known.unionByName(changed)
+
+
+def _jumps(changed: DataFrame, known: DataFrame, run: str, label: str) -> DataFrame:
+    """A label is the position of a row, and that row's own label is reachable too; taking it doubles the
+    distance covered per round. Rows whose label changed take it, and so do rows that had a changed row as label."""
+    at = lambda df: df.select(run, "pos", F.col(label).alias("_to"))
+    to = lambda df: df.select(run, F.col("pos").alias("_to"), label)
+    moved = at(changed).where("_to != pos").join(to(known), [run, "_to"])
+    return moved.unionByName(at(known).where("_to != pos").join(to(changed), [run, "_to"])).drop("_to")
+
+
+def _spread_down(rows: DataFrame, links: DataFrame, run: str) -> DataFrame:
+    """(run, pos, cluster): least opening position that a row reaches through earlier rows, or its own."""
+
+    def offers(changed: DataFrame, known: DataFrame) -> DataFrame:
+        named = links.join(changed, [run, "pos"])
+        # Of an entity that a changed row names, later rows see the least of the changed labels.
+        touched = links.join(named.select(run, "entity").distinct(), [run, "entity"], "left_semi")
+        seen = earlier(touched.join(changed, [run, "pos"], "left"), [run, "entity"], "pos", "cluster", "min", "low", 4096)
+        low = seen.where("low is not null").select(run, "pos", F.col("low").alias("cluster"))
+        return low.unionByName(_jumps(changed, known, run, "cluster"))
+
+    start = rows.where("opens").select(run, "pos", F.col("pos").alias("cluster"))
+    return _spread(start, offers, [run, "pos"], "cluster")
+
 
 def merge_flashpoints(df: DataFrame, run: str = "run_id") -> DataFrame:
     """One row per cluster: titles joined by " / ", descriptions by a blank, entities united.
@@ -158,36 +194,21 @@ def merge_flashpoints(df: DataFrame, run: str = "run_id") -> DataFrame:
 def entity_components(df: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, pos, component): rows linked through shared entities.
 
-    Label spreading over the row-entity graph. Each round takes the smallest
+    Label spreading over the row-entity graph. Each round takes the smallest changed
     label per entity and then per row; both are map-side combined minima, so an
     entity named by a third of all rows costs no more than any other.
     """
     links = cut_lineage(
         df.select(run, "pos", F.explode(F.array_distinct("entities")).alias("entity"))
     )
-    labels = cut_lineage(df.select(run, "pos", F.col("pos").alias("component")))
-    while True:
-        low_entity = (
-            links.join(labels, [run, "pos"])
-            .groupBy(run, "entity")
-            .agg(F.min("component").alias("low"))
-        )
-        low_row = links.join(low_entity, [run, "entity"]).groupBy(run, "pos").agg(F.min("low").alias("low"))
-        spread = labels.join(low_row, [run, "pos"], "left").select(
-            run, "pos", "component", F.least("component", F.coalesce("low", "component")).alias("low")
-        )
-        # A row also takes the label of its label's row, which halves long chains.
-        parent = labels.select(run, F.col("pos").alias("low"), F.col("component").alias("jump"))
-        moved = cut_lineage(
-            spread.join(parent, [run, "low"], "left").select(
-                run, "pos", F.col("component").alias("old"),
-                F.least("low", F.coalesce("jump", "low")).alias("component"),
-            )
-        )
-        changed = moved.where(F.col("old") != F.col("component")).limit(1).count()
-        labels = moved.drop("old")
-        if not changed:
-            return labels
+
+    def offers(changed: DataFrame, known: DataFrame) -> DataFrame:
+        per_entity = links.join(changed, [run, "pos"]).groupBy(run, "entity").agg(F.min("component").alias("component"))
+        low = links.join(per_entity, [run, "entity"]).select(run, "pos", "component")
+        return low.unionByName(_jumps(changed, known, run, "component"))
+
+    start = df.select(run, "pos", F.col("pos").alias("component"))
+    return _spread(start, offers, [run, "pos"], "component")
 
 
 def merge_flashpoints_by_component(df: DataFrame, run: str = "run_id") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.operators import risk, trends
 from tidewire.operators.scans import early_late_means
@@ -92,3 +93,33 @@ def test_topic_is_matched_as_substring(spark):
     rows = [art(i, 0.1, keywords=["war"], hours=i) for i in range(4)] + [art(9, 0.1, keywords=["software"])]
     got = trends.topic_trends(spark.createDataFrame(rows, SCHEMA), T0 + timedelta(days=1), min_confidence=None)
     assert {r["topic"]: r["article_count"] for r in got.collect()} == {"war": 5}
+
+
+def test_overview_equals_the_parts(spark):
+    now = T0 + timedelta(days=2)
+    rows = [art(i, (i * 37 % 200 - 140) / 100, (i % 10) / 10, ["urgent" if i % 3 else "calm", "war"], hours=i % 60) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    place = F.when(F.col("pos") % 5 == 0, F.lit(None)).when(F.col("pos") % 5 == 1, "").when(F.col("pos") == 2, "rare").otherwise(F.concat(F.lit("c"), F.col("pos") % 5))
+    df = df.withColumn("country", place)
+    whole = risk.Overview(df, now)
+    own = trends.country_risk(df).select(whole.country_risk().columns)
+    assert own.count() == 3 and sorted(whole.country_risk().collect()) == sorted(own.collect())
+    apart = risk.sentiment_risk(df).unionByName(risk.geographic_risk(df)).unionByName(risk.temporal_risk(df, now)).unionByName(risk.content_risk(df))
+    assert sorted(whole.risks().collect()) == sorted(apart.collect())
+    assert sorted(trends.correlation_rows(whole.totals()).collect(), key=str) == sorted(trends.correlations(df).collect(), key=str)
+    none = risk.Overview(df.where("1 = 0"), now)
+    assert none.totals().first()["article_count"] == 0 and none.country_risk().count() == 0 and none.risks().count() == 0
+
+
+def test_report_reads_the_articles_once(spark, tmp_path):
+    from tidewire.plans.report import report
+
+    rows = [art(i, -0.5, 0.9, ["urgent", "war"], hours=i % 40) for i in range(30)]
+    path = str(tmp_path / "articles")
+    spark.createDataFrame(rows, SCHEMA).withColumn("categories", F.array(F.lit("x"))).write.parquet(path)
+    parts = report(spark.read.parquet(path), T0 + timedelta(days=2))
+    assert not any(path in f for part in parts.values() for f in part.inputFiles())
+    got = parts["summary"].first()
+    assert got["total_articles"] == 30 and got["top_categories"] == ["x"] and got["countries_analyzed"] == 1
+    assert got["high_risks"] + got["medium_risks"] == parts["risks"].count() > 0
+    assert parts["sentiment_histogram"].first()["n"] == 30 and parts["top_trends"].count() == parts["trends"].count() == 2

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tidewire import fixed
 from tidewire.catalog.base import (
@@ -241,6 +243,61 @@ def _(t: Tables):
     return out
 
 
+_REPORT = f"""{TOPICS_SQL.format(k=15, d=9)},
+  tr AS (SELECT topic, least(count(*) / 10.0, 1.0)::DOUBLE AS confidence FROM rows_ GROUP BY 1 HAVING count(*) >= 3 AND least(count(*) / 10.0, 1.0) > 0.5),
+  g AS (SELECT country, {RISK_SQL}::DOUBLE AS s FROM processed GROUP BY 1 HAVING count(*) >= 3),
+  x AS ({_CORR}),
+  m AS (SELECT count(*) AS n, {share('sentiment < -0.3')} AS neg, {share(f"relevance > 0.8 AND {any_sql(KW, URGENT)}")} AS urg,
+      count_if(published_at >= {AS_OF_SQL} - INTERVAL 24 HOUR) AS f, avg(sentiment) FILTER (published_at >= {AS_OF_SQL} - INTERVAL 24 HOUR) AS mood,
+      avg(sentiment) AS s, avg(relevance) AS r, avg(quality) AS q, min(sentiment) AS lo, (max(sentiment) - min(sentiment)) / 20 AS st FROM processed),
+  risks AS (SELECT 'sentiment_risk' AS name, neg AS value, CASE WHEN neg > 0.5 THEN 'high' ELSE 'medium' END AS note FROM m WHERE neg > 0.3
+    UNION ALL SELECT 'content_risk', urg, CASE WHEN urg > 0.1 THEN 'high' ELSE 'medium' END FROM m WHERE urg > 0
+    UNION ALL SELECT 'temporal_risk', 0.6, 'medium' FROM m WHERE n >= 5 AND f > n * 0.5 AND mood < -0.2
+    UNION ALL (SELECT 'geographic_risk', s, CASE WHEN s > 0.8 THEN 'high' ELSE 'medium' END FROM g WHERE s > 0.6 ORDER BY s DESC, country LIMIT 1))"""
+
+
+@query(
+    "ag14_report_values",
+    f"""WITH {_REPORT}
+      SELECT part, name, round(value::DOUBLE, 8) AS value, note FROM (
+        SELECT 'risks' AS part, name, value, note FROM risks
+        UNION ALL SELECT 'trends', topic, confidence, NULL FROM tr
+        UNION ALL SELECT 'countries', country, s, NULL FROM g
+        UNION ALL SELECT 'correlations', 'sentiment/relevance', a, NULL FROM x UNION ALL SELECT 'correlations', 'sentiment/quality', b, NULL FROM x
+        UNION ALL SELECT 'correlations', 'relevance/quality', c, NULL FROM x UNION ALL SELECT 'correlations', 'entity_count/relevance', d, NULL FROM x
+        UNION ALL SELECT 'correlations', 'keyword_count/relevance', e, NULL FROM x
+        UNION ALL SELECT 'histogram', CAST(CAST(least(floor((sentiment - lo) / st), 19) AS BIGINT) AS VARCHAR), count(*), NULL FROM processed, m WHERE sentiment IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'summary', 'total_articles', n, NULL FROM m UNION ALL SELECT 'summary', 'avg_sentiment', s, NULL FROM m
+        UNION ALL SELECT 'summary', 'avg_relevance', r, NULL FROM m UNION ALL SELECT 'summary', 'avg_quality', q, NULL FROM m
+        UNION ALL SELECT 'summary', 'trends_count', (SELECT count(*) FROM tr), NULL UNION ALL SELECT 'summary', 'countries_analyzed', (SELECT count(*) FROM g), NULL
+        UNION ALL SELECT 'summary', 'high_risks', (SELECT count(*) FROM risks WHERE note = 'high'), NULL
+        UNION ALL SELECT 'summary', 'medium_risks', (SELECT count(*) FROM risks WHERE note = 'medium'), NULL)""",
+    "processed",
+)
+def _(t: Tables):
+    from tidewire.plans.report import report
+
+    parts = report(t.processed(), AS_OF, 9, CONFLICT, URGENT)
+    none = F.lit(None).cast("string")
+
+    def rows(part: str, name, value, frame: str | None = None, note=none):
+        named = [F.lit(part).alias("part"), name.alias("name"), F.round(value.cast("double"), 8).alias("value"), note.alias("note")]
+        return parts[frame or part].select(*named)
+
+    counts = ("total_articles", "avg_sentiment", "avg_relevance", "avg_quality", "trends_count", "countries_analyzed", "high_risks", "medium_risks")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in counts])).alias("s")
+    parts["each"] = parts["summary"].select(each).select("s.*")
+    out = [
+        rows("risks", F.col("risk_type"), F.col("confidence"), note=F.col("risk_level")),
+        rows("trends", F.col("topic"), F.col("confidence")),
+        rows("countries", F.col("country"), F.col("risk_score")),
+        rows("correlations", F.concat_ws("/", "variable1", "variable2"), F.col("coefficient")),
+        rows("histogram", F.col("bin").cast("string"), F.col("n"), "sentiment_histogram"),
+        rows("summary", F.col("name"), F.col("value"), "each"),
+    ]
+    return reduce(DataFrame.unionByName, out)
+
+
 @query(
     "ag15_themes",
     "SELECT theme, count(*) AS n FROM hotspot JOIN (VALUES "

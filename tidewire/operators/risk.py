@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewire import fixed
 from tidewire.functions.text import contains_any, joined_keywords, str_array
-from tidewire.operators.trends import country_risk, top_values
+from tidewire.operators.trends import correlation_measures, country_risk, risk_score, share, sizes, top_values
+from tidewire.session import cut_lineage
 
 # Advice per risk type.
 ADVICE = {
@@ -31,10 +32,6 @@ ADVICE = {
 }
 
 
-def _share(cond: Column) -> Column:
-    return F.avg(F.when(cond, 1.0).otherwise(0.0))
-
-
 def _row(kind: str, level: Column, confidence: Column, impact: float, factor: Column, advice: Column) -> list:
     return [
         F.lit(kind).alias("risk_type"),
@@ -47,29 +44,32 @@ def _row(kind: str, level: Column, confidence: Column, impact: float, factor: Co
     ]
 
 
-def sentiment_risk(articles: DataFrame) -> DataFrame:
-    r = F.col("ratio")
-    return (
-        articles.agg(_share(F.col("sentiment") < -0.3).alias("ratio"))
-        .where(r > 0.3)
-        .select(
-            *_row(
-                "sentiment_risk",
-                F.when(r > 0.5, "high").otherwise("medium"),
-                r,
-                0.7,
-                F.format_string(fixed.NEGATIVE_SENTENCE, r),
-                str_array(ADVICE["sentiment_risk"]),
-            )
+def _sentiment_measures() -> list[Column]:
+    return [share(F.col("sentiment") < -0.3).alias("negative_share")]
+
+
+def _sentiment_rows(measured: DataFrame) -> DataFrame:
+    r = F.col("negative_share")
+    return measured.where(r > 0.3).select(
+        *_row(
+            "sentiment_risk",
+            F.when(r > 0.5, "high").otherwise("medium"),
+            r,
+            0.7,
+            F.format_string(fixed.NEGATIVE_SENTENCE, r),
+            str_array(ADVICE["sentiment_risk"]),
         )
     )
 
 
-def geographic_risk(articles: DataFrame, threshold: float = 0.6, **kw) -> DataFrame:
+def sentiment_risk(articles: DataFrame) -> DataFrame:
+    return _sentiment_rows(articles.agg(*_sentiment_measures()))
+
+
+def _geographic_rows(scores: DataFrame, threshold: float) -> DataFrame:
     s, c = F.col("risk_score"), F.col("country")
     return (
-        country_risk(articles, **kw)
-        .where(s > threshold)
+        scores.where(s > threshold)
         .orderBy(F.desc("risk_score"), "country")
         .limit(1)
         .select(
@@ -89,47 +89,125 @@ def geographic_risk(articles: DataFrame, threshold: float = 0.6, **kw) -> DataFr
     )
 
 
+def geographic_risk(articles: DataFrame, threshold: float = 0.6, **kw) -> DataFrame:
+    return _geographic_rows(country_risk(articles, **kw), threshold)
+
+
+def _temporal_measures(fresh: Column) -> list[Column]:
+    return [
+        F.count("*").alias("article_count"),
+        F.count_if(fresh).alias("fresh_count"),
+        F.avg(F.when(fresh, F.col("sentiment"))).alias("fresh_mood"),
+    ]
+
+
+def _fresh(as_of: datetime, hours: int) -> Column:
+    return F.col("published_at") >= F.lit(as_of - timedelta(hours=hours))
+
+
+def _temporal_rows(measured: DataFrame, share_: float, floor: float) -> DataFrame:
+    n = F.col("article_count")
+    return measured.where((n >= 5) & (F.col("fresh_count") > n * share_) & (F.col("fresh_mood") < floor)).select(
+        *_row(
+            "temporal_risk",
+            F.lit("medium"),
+            F.lit(0.6),
+            0.6,
+            F.lit("High recent activity with negative sentiment"),
+            str_array(ADVICE["temporal_risk"]),
+        )
+    )
+
+
 def temporal_risk(
     articles: DataFrame, as_of: datetime, hours: int = 24, share: float = 0.5, floor: float = -0.2
 ) -> DataFrame:
-    fresh = F.col("published_at") >= F.lit(as_of - timedelta(hours=hours))
-    return (
-        articles.agg(
-            F.count("*").alias("n"),
-            F.count_if(fresh).alias("fresh"),
-            F.avg(F.when(fresh, F.col("sentiment"))).alias("mood"),
-        )
-        .where((F.col("n") >= 5) & (F.col("fresh") > F.col("n") * share) & (F.col("mood") < floor))
-        .select(
-            *_row(
-                "temporal_risk",
-                F.lit("medium"),
-                F.lit(0.6),
-                0.6,
-                F.lit("High recent activity with negative sentiment"),
-                str_array(ADVICE["temporal_risk"]),
-            )
+    return _temporal_rows(articles.agg(*_temporal_measures(_fresh(as_of, hours))), share, floor)
+
+
+def _content_measures(urgent: Column) -> list[Column]:
+    hit = (F.col("relevance") > 0.8) & urgent
+    return [share(hit).alias("urgent_share"), F.count_if(hit).alias("urgent_count")]
+
+
+def _content_rows(measured: DataFrame) -> DataFrame:
+    r, n = F.col("urgent_share"), F.col("urgent_count")
+    return measured.where(n > 0).select(
+        *_row(
+            "content_risk",
+            F.when(r > 0.1, "high").otherwise("medium"),
+            r,
+            0.8,
+            F.format_string("High-risk content detected: %d articles", n),
+            str_array(ADVICE["content_risk"]),
         )
     )
 
 
 def content_risk(articles: DataFrame, words: Sequence[str] = fixed.URGENT_WORDS) -> DataFrame:
-    hit = (F.col("relevance") > 0.8) & contains_any(joined_keywords(F.col("keywords")), words)
-    r = F.col("ratio")
-    return (
-        articles.agg(_share(hit).alias("ratio"), F.count_if(hit).alias("n"))
-        .where(F.col("n") > 0)
-        .select(
-            *_row(
-                "content_risk",
-                F.when(r > 0.1, "high").otherwise("medium"),
-                r,
-                0.8,
-                F.format_string("High-risk content detected: %d articles", F.col("n")),
-                str_array(ADVICE["content_risk"]),
-            )
+    return _content_rows(articles.agg(*_content_measures(contains_any(joined_keywords(F.col("keywords")), words))))
+
+
+class Overview:
+    """Everything a report says of all articles and of each country, from one pass over the articles.
+
+    Words are looked for once per article; what goes on are a few numbers and flags, which are rolled up to
+    countries and to all articles in one aggregation that combines before its shuffle. Its result, one row per
+    country and one for all, is written once, and the parts are picked from it.
+    """
+
+    def __init__(
+        self,
+        articles: DataFrame,
+        as_of: datetime,
+        conflict_words: Sequence[str] = fixed.CONFLICT_WORDS,
+        urgent_words: Sequence[str] = fixed.URGENT_WORDS,
+        hours: int = 24,
+    ) -> None:
+        words = joined_keywords(F.col("keywords"))
+        marked = articles.select(
+            "country",
+            "sentiment",
+            "relevance",
+            "quality",
+            *sizes(),
+            _fresh(as_of, hours).alias("fresh"),
+            contains_any(words, conflict_words).alias("conflict"),
+            contains_any(words, urgent_words).alias("urgent"),
+        )
+        measures = [
+            *_sentiment_measures(),
+            *_temporal_measures(F.col("fresh")),
+            *_content_measures(F.col("urgent")),
+            risk_score(F.col("conflict")).alias("risk_score"),
+            *[F.avg(c).alias(f"avg_{c}") for c in ("sentiment", "relevance", "quality")],
+            F.min("sentiment").alias("lo"),
+            F.max("sentiment").alias("hi"),
+            *correlation_measures(),
+        ]
+        self._rows = cut_lineage(marked.rollup("country").agg(F.grouping("country").alias("overall"), *measures))
+
+    def totals(self) -> DataFrame:
+        """The row of all articles; counts are zero where there are none."""
+        names = [c for c in self._rows.columns if c not in ("country", "overall")]
+        whole = self._rows.where("overall = 1").agg(*[F.max(c).alias(c) for c in names])
+        return whole.fillna(0, [c for c in names if c.endswith("_count") or c == "sample_size"])
+
+    def country_risk(self, min_articles: int = 3) -> DataFrame:
+        """The rows of :func:`tidewire.operators.trends.country_risk`."""
+        named = self._rows.where("overall = 0 and country is not null and country <> ''")
+        return named.where(F.col("article_count") >= min_articles).select(
+            "country", "article_count", F.coalesce("avg_sentiment", F.lit(0.0)).alias("avg_sentiment"), "risk_score"
+        )
+
+    def risks(self) -> DataFrame:
+        totals = self.totals()
+        return (
+            _sentiment_rows(totals)
+            .unionByName(_geographic_rows(self.country_risk(), 0.6))
+            .unionByName(_temporal_rows(totals, 0.5, -0.2))
+            .unionByName(_content_rows(totals))
         )
-    )
 
 
 def all_risks(
@@ -138,30 +216,31 @@ def all_risks(
     conflict_words: Sequence[str] = fixed.CONFLICT_WORDS,
     urgent_words: Sequence[str] = fixed.URGENT_WORDS,
 ) -> DataFrame:
-    return (
-        sentiment_risk(articles)
-        .unionByName(geographic_risk(articles, conflict_words=conflict_words))
-        .unionByName(temporal_risk(articles, as_of))
-        .unionByName(content_risk(articles, urgent_words))
-    )
+    return Overview(articles, as_of, conflict_words, urgent_words).risks()
 
 
 def summary(
-    articles: DataFrame, trends: DataFrame, countries: DataFrame, risks: DataFrame, period_days: int = 7
+    articles: DataFrame,
+    trends: DataFrame,
+    countries: DataFrame,
+    risks: DataFrame,
+    period_days: int = 7,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
-    """One row of totals, means, top categories and counts of the other outputs."""
+    """One row of totals, means, top categories and counts of the other outputs.
+
+    ``totals`` are those of an :class:`Overview` where there is one.
+    """
+    means = [f"avg_{c}" for c in ("sentiment", "relevance", "quality")]
+    if totals is None:
+        totals = articles.agg(F.count("*").alias("article_count"), *[F.avg(m[4:]).alias(m) for m in means])
     cats = top_values(articles, F.col("categories"), 5, "category").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "category"))),
             lambda s: s["category"],
         )
     )
-    return articles.agg(
-        F.count("*").alias("total_articles"),
-        F.avg("sentiment").alias("avg_sentiment"),
-        F.avg("relevance").alias("avg_relevance"),
-        F.avg("quality").alias("avg_quality"),
-    ).withColumns(
+    return totals.select(F.col("article_count").alias("total_articles"), *means).withColumns(
         {
             "top_categories": cats.scalar(),
             "trends_count": trends.agg(F.count("*")).scalar(),

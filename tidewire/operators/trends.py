@@ -131,13 +131,13 @@ def key_entities(topic_rows: DataFrame, k: int = 5) -> DataFrame:
     return top_k(counts, ["topic"], k, F.desc("n"), F.col("entity"))
 
 
-def country_risk_column(conflict_words: Sequence[str] = fixed.CONFLICT_WORDS) -> Column:
-    """Aggregate expression: weighted shares of negative, relevant and conflict articles."""
+def share(cond: Column) -> Column:
+    """Aggregate expression: the share of rows for which ``cond`` holds."""
+    return F.avg(F.when(cond, 1.0).otherwise(0.0))
 
-    def share(cond: Column) -> Column:
-        return F.avg(F.when(cond, 1.0).otherwise(0.0))
 
-    conflict = contains_any(joined_keywords(F.col("keywords")), conflict_words)
+def risk_score(conflict: Column) -> Column:
+    """Aggregate expression: weighted shares of negative, relevant and conflict articles."""
     return F.least(
         F.lit(1.0),
         0.4 * share(F.col("sentiment") < -0.2)
@@ -146,6 +146,11 @@ def country_risk_column(conflict_words: Sequence[str] = fixed.CONFLICT_WORDS) ->
     )
 
 
+def country_risk_column(conflict_words: Sequence[str] = fixed.CONFLICT_WORDS) -> Column:
+    """The risk score of articles with keywords."""
+    return risk_score(contains_any(joined_keywords(F.col("keywords")), conflict_words))
+
+
 def country_risk(articles: DataFrame, min_articles: int = 3, **kw) -> DataFrame:
     return (
         articles.where(F.col("country").isNotNull() & (F.col("country") != ""))
@@ -184,12 +189,18 @@ def top_keywords(articles: DataFrame, key: str = "country", k: int = 5) -> DataF
     return best.groupBy(key).agg(F.transform(ordered, lambda s: s["keyword"]).alias("key_topics"))
 
 
-def country_patterns(articles: DataFrame, min_articles: int = 3, **kw) -> DataFrame:
-    """Per country: count, sentiment, key topics, risk and direction."""
+def country_patterns(
+    articles: DataFrame, min_articles: int = 3, scores: DataFrame | None = None, **kw
+) -> DataFrame:
+    """Per country: count, sentiment, key topics, risk and direction.
+
+    ``scores`` has the rows of :func:`country_risk` where they are known already.
+    """
     located = articles.where(F.col("country").isNotNull() & (F.col("country") != ""))
+    if scores is None:
+        scores = country_risk(located, min_articles, **kw)
     return (
-        country_risk(located, min_articles, **kw)
-        .join(top_keywords(located), "country", "left")
+        scores.join(top_keywords(located), "country", "left")
         .join(trend_direction(located), "country", "left")
         .withColumn("key_topics", F.coalesce("key_topics", F.array().cast("array<string>")))
     )
@@ -207,24 +218,35 @@ CORRELATION_PAIRS = (
 
 def correlations(articles: DataFrame, min_rows: int = 10) -> DataFrame:
     """Pearson r of the fixed pairs, one row each; no row when there is too little data."""
-    rows = articles.where(F.col("sentiment").isNotNull() & (F.col("relevance") > 0)).select(
-        "sentiment",
-        "relevance",
-        "quality",
-        F.size("entities").cast("double").alias("entity_count"),
-        F.size("keywords").cast("double").alias("keyword_count"),
-    )
+    counted = articles.select("sentiment", "relevance", "quality", *sizes())
+    return correlation_rows(counted.agg(*correlation_measures()), min_rows)
+
+
+def sizes() -> list[Column]:
+    """How many entities and keywords an article has."""
+    return [F.size(c).cast("double").alias(f"{n}_count") for c, n in (("entities", "entity"), ("keywords", "keyword"))]
+
+
+def correlation_measures() -> list[Column]:
+    """Aggregate expressions: sample_size and r0 to r4 of the pairs, over rows with a sentiment and a relevance."""
+    valid = F.col("sentiment").isNotNull() & (F.col("relevance") > 0)
+
     def pearson(x: str, y: str) -> Column:
         """NULL without variance; ``corr`` fails on it under ANSI rules."""
+        x, y = F.when(valid, F.col(x)), F.when(valid, F.col(y))
         scale = F.stddev_pop(x) * F.stddev_pop(y)
         return F.when(scale > 0, F.covar_pop(x, y) / scale)
 
-    agg = rows.agg(
-        F.count("*").alias("sample_size"),
+    return [
+        F.count_if(valid).alias("sample_size"),
         *[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(CORRELATION_PAIRS)],
-    )
+    ]
+
+
+def correlation_rows(measured: DataFrame, min_rows: int = 10) -> DataFrame:
+    """One row per pair from the row of measures."""
     pairs = ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(CORRELATION_PAIRS))
-    return agg.where(F.col("sample_size") >= min_rows).select(
+    return measured.where(F.col("sample_size") >= min_rows).select(
         "sample_size",
         F.expr(
             f"stack({len(CORRELATION_PAIRS)}, {pairs}) AS (variable1, variable2, coefficient)"
@@ -298,9 +320,14 @@ def with_significance(corr: DataFrame) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
-    """Equal-width bins between the least and the greatest value; the top edge is inclusive."""
-    bounds = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
+def histogram(df: DataFrame, col: str, bins: int = 20, bounds: DataFrame | None = None) -> DataFrame:
+    """Equal-width bins between the least and the greatest value; the top edge is inclusive.
+
+    ``bounds`` is one row with one struct (lo, hi) where they are known already.
+    """
+    if bounds is None:
+        bounds = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi")))
+    bounds = bounds.scalar()
     lo, hi = F.col("_edge.lo"), F.col("_edge.hi")
     step = (hi - lo) / bins
     slot = F.when(hi == lo, 0).otherwise(

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm.pii import KINDS, find_personal_data, written
+from tidewire.llm.pii import KINDS, Bootstrap, find_personal_data, written
 
 from .conftest import TEXTS
 
@@ -83,6 +83,25 @@ def test_contexts_of_known_values_find_new_ones(taught):
             assert base == spans
 
 
+def test_accepted_values_induce_patterns(spark, taught):
+    """Values learned in one context teach a second one, and those found there a third."""
+    new = [f"person{i}@localhost9{i}111" for i in range(3)]
+    second, third = "fourth@intranet44321", [f"third{i}@lan7{i}555" for i in range(3)]
+    rows = [(400 + i, f"Kindly reach via {v} for details soon") for i, v in enumerate([*new, second, *third])]
+    rows += [(450 + i, f"Bounced back from {v} at night twice") for i, v in enumerate([*third, "last@host80808"])]
+    rows += [(470, "Bounced early with 5551234567 by noon")]
+    more = taught.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["s"] for r in find_personal_data(more, Bootstrap(confidence=0.3)).select("doc_id", written(F.col("spans")).alias("s")).collect()}
+    for doc, text in rows[:-1]:
+        value = next(w for w in text.split() if "@" in w)
+        assert got[doc] == f"email:{text.index(value)}:{text.index(value) + len(value)}"
+    assert got[470] == "" and all(got[200 + i] == "" for i in range(30))
+    # The surer patterns must be, the less they spread: one open value among three learned ones is taken.
+    few = taught.unionByName(spark.createDataFrame(rows[:4], "doc_id long, text string"))
+    got = {r["doc_id"]: r["s"] for r in find_personal_data(few).select("doc_id", written(F.col("spans")).alias("s")).collect()}
+    assert got[403] == f"email:17:{17 + len(second)}"
+
+
 def test_digest_of_no_spans():
     assert joined(plain_spans(None)) == "" and hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
     assert TEXTS[1][1] is None

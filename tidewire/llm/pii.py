@@ -32,7 +32,7 @@ class Bootstrap:
 
     support: different known values that a pattern must be seen with. confidence: mean confidence of
     the values of a pattern from which on it may find new ones, and of a new value to be accepted.
-    rounds: how often patterns and values are scored in turn.
+    rounds: how often patterns and values are scored in turn, before accepted values join the known ones.
     """
 
     support: int = 3
@@ -142,13 +142,44 @@ def scan(docs: DataFrame) -> DataFrame:
     return cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
 
 
+def _accepted(links: DataFrame, seeds: DataFrame, settings: Bootstrap) -> DataFrame:
+    """(value, found, c): the values that patterns of the seeds (pattern, value, kind, own) make sure enough.
+
+    found is the kind and c the confidence; known values of the patterns are among them.
+    """
+    strong = (
+        seeds.groupBy("pattern", "kind").agg(F.count("*").alias("known")).where(F.col("known") >= settings.support)
+    )
+    # Only links of patterns with enough known values can ever matter.
+    graph = cut_lineage(
+        links.select("pattern", "value").join(strong.select("pattern", "kind"), "pattern")
+        .join(seeds, ["pattern", "kind", "value"], "left")
+        .groupBy("pattern", "kind", "value").agg(F.coalesce(F.max("own"), F.lit(0.0)).alias("own"))
+    )
+    trust = graph.groupBy("kind", "value").agg(F.max("own").alias("c"))
+    for _ in range(settings.rounds):
+        scores = graph.join(trust, ["kind", "value"]).groupBy("pattern", "kind").agg(F.avg("c").alias("score"))
+        best = graph.join(scores, ["pattern", "kind"]).groupBy("kind", "value").agg(
+            F.max("own").alias("own"),
+            F.max(F.when(F.col("score") >= settings.confidence / 2, F.col("score"))).alias("score"),
+        )
+        trust = cut_lineage(best.select("kind", "value", F.when(F.col("own") > 0, F.col("own")).otherwise(F.coalesce("score", F.lit(0.0))).alias("c")))
+    return (
+        trust.where(F.col("c") >= settings.confidence)
+        .groupBy("value").agg(F.max(F.struct(F.col("c"), (-F.col("kind")).alias("k"))).alias("b"))
+        .select("value", (-F.col("b")["k"]).alias("found"), F.col("b")["c"].alias("c"))
+    )
+
+
 def discover(scanned: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
     """_row, kind, start, end of identifiers that the base patterns miss.
 
     A graph links each value (of base matches: known, of candidates: open) with the patterns of the
     contexts it stands in, per kind. In turn, a pattern gets the mean confidence of its values, if it
     has enough known ones of one kind, and an open value the best mean over its patterns of that kind.
-    Known values keep confidence 1. Candidates that overlap a base match are left out.
+    Known values keep confidence 1. Values that are accepted then are known too, with the confidence they
+    were accepted with, and induce patterns in all their contexts; this goes on until no value
+    is accepted. Candidates that overlap a base match are left out.
     """
     every = scanned.select("_row", F.explode(F.concat(*KINDS, "candidates")).alias("s")).select("_row", "s.*")
     # An open span overlaps a base span if one that starts before ends in it, or one after starts in it.
@@ -167,32 +198,19 @@ def discover(scanned: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame
     links = cut_lineage(
         seen.select("kind", "value", F.explode("contexts").alias("pattern")).groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")).drop("n")
     )
-    seeds = links.where("kind >= 0").select("pattern", "value", "kind")
-    strong = (
-        seeds.groupBy("pattern", "kind").agg(F.count("*").alias("known")).where(F.col("known") >= settings.support)
-    )
-    # Only links of patterns with enough known values can ever matter.
-    graph = cut_lineage(
-        links.withColumnRenamed("kind", "of").join(strong, "pattern").select(
-            "pattern", "kind", "value", (F.col("of") == F.col("kind")).alias("sure")
-        ).groupBy("pattern", "kind", "value").agg(F.max("sure").alias("sure"))
-    )
-    trust = graph.select("kind", "value", F.when(F.col("sure"), 1.0).otherwise(0.0).alias("c")).groupBy("kind", "value").agg(F.max("c").alias("c"))
-    scores = None
-    for _ in range(settings.rounds):
-        scores = graph.join(trust, ["kind", "value"]).groupBy("pattern", "kind").agg(F.avg("c").alias("score"))
-        best = graph.join(scores, ["pattern", "kind"]).groupBy("kind", "value").agg(
-            F.max(F.when(F.col("sure"), 1.0).otherwise(0.0)).alias("sure"),
-            F.max(F.when(F.col("score") >= settings.confidence / 2, F.col("score"))).alias("score"),
-        )
-        trust = cut_lineage(best.select("kind", "value", F.when(F.col("sure") == 1.0, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("c")))
-    accepted = (
-        trust.where(F.col("c") >= settings.confidence)
-        .groupBy("value").agg(F.max(F.struct(F.col("c"), (-F.col("kind")).alias("k"))).alias("b"))
-        .select("value", (-F.col("b")["k"]).alias("found"))
-    )
+    seeds = links.where("kind >= 0").select("pattern", "value", "kind", F.lit(1.0).alias("own"))
+    open_links = links.where("kind < 0 and value != ''").select("pattern", "value")
+    accepted = None
+    while True:
+        found = _accepted(links, seeds, settings)
+        new = cut_lineage(found if accepted is None else found.join(accepted, "value", "left_anti"))
+        accepted = new if accepted is None else accepted.unionByName(new)
+        learned = cut_lineage(open_links.join(new, "value").select("pattern", "value", F.col("found").alias("kind"), F.col("c").alias("own")))
+        if learned.isEmpty():
+            break
+        seeds = seeds.unionByName(learned)
     cut = F.length(F.regexp_extract("raw", r"^[\p{P}\p{S}&&[^+@]]*", 0))
-    fresh = seen.where("kind < 0 and value != ''").join(accepted, "value")
+    fresh = seen.where("kind < 0 and value != ''").join(accepted.select("value", "found"), "value")
     raw = scanned.select("_row", F.explode("candidates").alias("s")).select("_row", F.col("s.start").alias("start"), F.col("s.value").alias("raw"))
     return (
         fresh.join(raw, ["_row", "start"])

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tidewire.llm import ngram_quality as nq
-from tidewire.llm.quality_rules import cascade, keep_passing, ordered_by_gain, quality_verdicts, text_rules
+from tidewire.llm.quality_rules import cascade, keep_passing, ordered_by_gain, quality_verdicts, rule_order, sampled, text_rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -56,6 +56,20 @@ def test_order_by_rejection_per_cost(spark):
     assert one == cascade(sample, rules[::-1]).where("failed_rule is null").count()
 
 
+def test_order_is_the_same_however_the_table_lies(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    loud = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!" * 9000))).otherwise(F.col("text")))
+    want = [r.name for r in rule_order(loud, rows=200)]
+    # The long runs of marks make long words, which cost nothing to see; then marks before regular expressions.
+    assert want[0] == "word_length" and want.index("exclamations") < want.index("capitals")
+    assert [r.name for r in rule_order(loud.orderBy(F.rand(3)).repartition(7), rows=200)] == want
+    seen = sampled(docs, rows=200).count()
+    assert 120 < seen < 300 and sampled(docs, rows=10**6).count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    # Copies, nulls and no rows at all.
+    same = spark.range(5000).select(F.lit("one text").alias("text")).unionByName(spark.createDataFrame([(None,), ("",)], "text string"))
+    assert sampled(same).count() <= 2 and len(rule_order(same)) == len(rule_order(same.where("1 = 0"))) == len(text_rules())
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -182,3 +182,15 @@ def test_names_beyond_a_small_dimension(spark):
     assert got[some[0]] == some[0] and got["Elsewhere"] is None
     near = got[some[1][:4] + "#" + some[1][4:]]
     assert near is not None and _distance(near.lower(), (some[1][:4] + "#" + some[1][4:]).lower()) <= 2
+
+
+def test_only_distinct_entities_are_cut_into_grams(spark):
+    """Spark must not move the test of the exploded grams below the distinct, to every row of the entities."""
+    rows = spark.range(500).select(F.concat(F.lit("Franc"), (F.col("id") % 3).cast("string")).alias("entity"))
+    aliases = spark.createDataFrame([("france", "France", 0)], "alias string, country string, priority int")
+    got = resolve.resolve_countries(rows, aliases)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan
+    assert sorted(map(tuple, got.collect())) == [(f"Franc{i}", "France") for i in range(3)]
+    names = resolve.similar_names(rows.select(F.col("entity").alias("text")), aliases.select(F.col("country").alias("name")))
+    assert "Range (" not in names._jdf.queryExecution().optimizedPlan().toString()

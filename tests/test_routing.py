@@ -58,3 +58,16 @@ def test_index_has_one_clause_per_filter(spark):
     )
     index = fl.predicate_index(fl._profiles(subs)).collect()
     assert sorted(r["_key"] for r in index) == ["n:0", "n:1", "n:2"]
+
+
+def test_matches_are_not_shuffled(spark, monkeypatch):
+    """A filter of many clients: portions of clients come with the index, and no join follows the check of the filter."""
+    monkeypatch.setattr(fl, "CLIENTS", 7)
+    subs = spark.createDataFrame([(i % 90, None, None, ["OIL"], None, None, None, f"n{i}") for i in range(100)], SUBSCRIPTION)
+    portions = fl._clients(fl._profiles(subs)).collect()
+    assert sum(len(r["_clients"]) for r in portions) == 100 and len(portions) > 5
+    articles = spark.createDataFrame([(i, [], "", ["oil" if i % 2 else "gas"], 0.5, 0.5, "en") for i in range(6)], ARTICLE)
+    got = fl.route_to_subscribers(articles, subs).select("id", "sub_client", "sub_note")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan
+    assert sorted(map(tuple, got.collect())) == sorted((a, i % 90, f"n{i}") for a in (1, 3, 5) for i in range(100))

@@ -194,3 +194,12 @@ def test_only_distinct_entities_are_cut_into_grams(spark):
     assert sorted(map(tuple, got.collect())) == [(f"Franc{i}", "France") for i in range(3)]
     names = resolve.similar_names(rows.select(F.col("entity").alias("text")), aliases.select(F.col("country").alias("name")))
     assert "Range (" not in names._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_query_history_without_hours(spark):
+    """Without ``hours`` all of the history counts, also what has no time."""
+    h = spark.createDataFrame([(1, "a big oil deal", datetime(2020, 1, 1)), (2, "no Oil", None), (3, "gas", datetime(2024, 1, 1))], "hid long, query string, ts timestamp")
+    q = spark.createDataFrame([(7, "oil"), (8, "gas"), (9, "")], "qid long, query string")
+    got = resolve.query_history(q, h, datetime(2024, 1, 1), hours=None)
+    assert sorted(map(tuple, got.collect())) == [(7, 1), (7, 2), (8, 3)]
+    assert sorted(map(tuple, resolve.query_history(q, h, datetime(2024, 1, 1)).collect())) == [(8, 3)]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from tidewire.catalog.base import AS_OF, Tables, joined, query, r8
@@ -163,19 +161,21 @@ def _(t: Tables):
 @query(
     "jn08_query_history",
     """SELECT b.item_id AS qid, a.id AS hid FROM (SELECT item_id, lower(text) AS q FROM benchmark
-        UNION ALL SELECT 100000 + item_id, lower(split_part(text, ' ', 2)) FROM benchmark) b
-      JOIN article a ON contains(lower(a.content), b.q) AND b.q <> ''
-      WHERE a.published_at > TIMESTAMP '2024-01-14' AND a.published_at <= TIMESTAMP '2024-01-15'""",
+        UNION ALL SELECT 100000 + item_id, lower(split_part(text, ' ', 2)) FROM benchmark
+        UNION ALL SELECT 200000 + item_id, lower(left(text, 30)) FROM benchmark
+        UNION ALL SELECT 300000 + item_id, lower(substr(text, 3, 5)) FROM benchmark) b
+      JOIN article a ON contains(lower(a.content), b.q) AND b.q <> ''""",
     "article",
 )
 def _(t: Tables):
-    b = t.table("benchmark")
-    # Whole passages, and their second words as queries of one word.
-    q = b.select(F.col("item_id").alias("qid"), F.col("text").alias("query")).unionByName(
-        b.select((F.col("item_id") + 100000).alias("qid"), F.split_part("text", F.lit(" "), F.lit(2)).alias("query"))
-    )
-    h = t.article().select(F.col("id").alias("hid"), F.col("content").alias("query"), F.col("published_at").alias("ts"))
-    return resolve.query_history(q, h, datetime(2024, 1, 15))
+    """All articles are the history."""
+    text = F.col("text")
+    # Whole passages, their second words, their beginnings and pieces that cut words.
+    kinds = (text, F.split_part(text, F.lit(" "), F.lit(2)), F.left(text, F.lit(30)), F.substring(text, 3, 5))
+    asked = F.array(*[F.struct((F.col("item_id") + 100000 * i).alias("qid"), q.alias("query")) for i, q in enumerate(kinds)])
+    q = t.table("benchmark").select(F.inline(asked))
+    h = t.article().select(F.col("id").alias("hid"), F.col("content").alias("query"))
+    return resolve.query_history(q, h, hours=None)
 
 
 @query(

@@ -196,6 +196,20 @@ def test_only_distinct_entities_are_cut_into_grams(spark):
     assert "Range (" not in names._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_near_per_query_shuffles_no_pairs(spark, monkeypatch):
+    """Whatever meets under the signs, tasks pass on the best of each query; ties go by key over all blocks."""
+    monkeypatch.setattr(vectors, "BLOCK_CELLS", 64)
+    rnd = random.Random(3)
+    base = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(5)]
+    rows = [(i, base[i % 5]) for i in range(60)]  # twelve copies of each vector
+    cd = spark.createDataFrame(rows, "id long, embedding array<float>")
+    qd = spark.createDataFrame([(i, base[i]) for i in range(5)], "query_id long, embedding array<float>")
+    got = vectors.near_per_query(qd, cd, 0.9, 3, bits=2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join " not in plan and "Aggregate" not in plan
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got.collect()) == [(i, i + 5 * j, j + 1) for i in range(5) for j in range(3)]
+
+
 def test_query_history_without_hours(spark):
     """Without ``hours`` all of the history counts, also what has no time."""
     h = spark.createDataFrame([(1, "a big oil deal", datetime(2020, 1, 1)), (2, "no Oil", None), (3, "gas", datetime(2024, 1, 1))], "hid long, query string, ts timestamp")

@@ -144,39 +144,85 @@ def near_per_query(
 ) -> DataFrame:
     """(query, candidate, distance, confidence, rank): per query the nearest within 1 - ``threshold``, by signs.
 
-    For many queries against many candidates, where the product of all blocks is too much. Every vector gets
+    For many queries against many candidates, of which few are asked for. Every vector gets
     one key of ``bits`` signs for each of several sets of random planes; query and candidate meet where a key
-    is equal, and each distinct pair that meets is verified by its exact cosine. A pair at the threshold
+    is equal, and each pair that meets is verified by its exact cosine. A pair at the threshold
     shares all signs of a set with p = (1 - angle / pi) ^ bits, and the number of sets is such that it meets
     with probability ``recall``; nearer pairs meet more often. More ``bits`` mean fewer pairs to verify and
     more sets. Vectors without length or null match nothing.
+
+    Queries and candidates are dealt to blocks as in :func:`similar_per_query`. The keys are compared inside a pair
+    of blocks, and a task passes on at most ``limit`` rows per query; neither keys nor pairs are shuffled.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold is between 0 and 1")
     p = (1 - math.acos(threshold) / math.pi) ** bits
     sets = math.ceil(math.log(1 - recall) / math.log(1 - p))
 
-    @F.pandas_udf("array<long>")
-    def signs(batch: pd.Series) -> pd.Series:
-        vecs = np.stack(batch.to_numpy()).astype(np.float64)
+    def signs(vecs: np.ndarray) -> np.ndarray:
         planes = np.random.default_rng(seed).standard_normal((vecs.shape[1], sets * bits))
-        on = (vecs @ planes > 0).reshape(len(vecs), sets, bits)
-        return pd.Series(list((on << np.arange(bits)).sum(axis=2).astype(np.int64)))
-
-    def keyed(df: DataFrame, name: str, as_: str) -> tuple[DataFrame, DataFrame]:
-        rows = df.where(norm(F.col(vector)) > 0).select(F.col(name).alias(as_), F.col(vector).alias(as_ + "v"))
-        return rows, rows.select(as_, F.posexplode(signs(as_ + "v")).alias("_set", "_signs"))
-
-    asked, asked_keys = keyed(queries, query_key, "_q")
-    known, known_keys = keyed(candidates, key, "_k")
-    pairs = asked_keys.join(known_keys, ["_set", "_signs"]).select("_q", "_k").distinct()
-    near = (
-        pairs.join(asked, "_q").join(known, "_k")
-        .withColumn("distance", 1.0 - cosine(F.col("_qv"), F.col("_kv")))
-        .where(F.col("distance") < 1.0 - threshold)
+        keys = np.empty((sets, len(vecs)), np.min_scalar_type(2**bits - 1))
+        for at in range(0, len(vecs), 1024):
+            on = (vecs[at : at + 1024] @ planes > 0).reshape(-1, sets, bits)
+            keys[:, at : at + 1024] = (on << np.arange(bits)).sum(axis=2).T
+        return keys
+
+    def near(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or known.empty:
+            return pd.DataFrame({"_q": [], "_k": [], "distance": []})
+        known = known.sort_values("_k", kind="stable")
+        ids, m = known["_k"].to_numpy(), np.stack(known["_v"].to_numpy()).astype(np.float64)
+        there, unit, sizes = signs(m), _unit(m), _norms(m)
+        parts = []
+        step = max(1, BLOCK_CELLS // len(known))
+        for at in range(0, len(asked), step):
+            some = asked.iloc[at : at + step]
+            q = np.stack(some["_v"].to_numpy()).astype(np.float64)
+            meets = np.zeros((len(q), len(m)), bool)
+            for mine, others in zip(signs(q), there):
+                meets |= mine[:, None] == others[None, :]
+            scores = np.where(meets, _unit(q) @ unit.T, -2.0)
+            # What rounding may have moved is kept for the exact cosine.
+            least = np.full(len(q), threshold)
+            if len(m) > limit:
+                least = np.maximum(least, np.partition(scores, len(m) - limit, axis=1)[:, len(m) - limit])
+            x, y = np.nonzero(scores >= least[:, None] - 1e-9)
+            distance = 1.0 - _sum_of_products(q[x], m[y]) / (_norms(q)[x] * sizes[y])
+            hit = distance < 1.0 - threshold
+            x, y, distance = x[hit], y[hit], distance[hit]
+            order = np.lexsort((y, distance, x))
+            x, y, distance = x[order], y[order], distance[order]
+            first = np.arange(len(x)) - np.searchsorted(x, x) < limit
+            parts.append(pd.DataFrame({"_q": some["_q"].to_numpy()[x[first]], "_k": ids[y[first]], "distance": distance[first]}))
+        return pd.concat(parts)
+
+    def rows(df: DataFrame, name: str, as_: str) -> DataFrame:
+        return df.where(norm(F.col(vector)) > 0).select(F.col(name).alias(as_), F.col(vector).alias("_v"))
+
+    asked, known = rows(queries, query_key, "_q"), rows(candidates, key, "_k")
+    asked_blocks, known_blocks = _blocks(asked), _blocks(known)
+    left = asked.withColumn("_qb", _block("_q", asked_blocks)).withColumn("_kb", _every(known_blocks))
+    right = known.withColumn("_kb", _block("_k", known_blocks)).withColumn("_qb", _every(asked_blocks))
+    qt, kt = (df.schema[c].dataType.simpleString() for df, c in ((queries, query_key), (candidates, key)))
+    hits = (
+        left.groupBy("_qb", "_kb")
+        .cogroup(right.groupBy("_qb", "_kb"))
+        .applyInPandas(near, f"_q {qt}, _k {kt}, distance double")
         .select(F.col("_q").alias(query_key), F.col("_k").alias(key), "distance", (1.0 - F.col("distance")).alias("confidence"))
     )
-    return top_k(near, [query_key], limit, F.asc("distance"), F.col(key))
+    return top_k(hits, [query_key], limit, F.asc("distance"), F.col(key))
+
+
+def _sum_of_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot product of each row of ``a`` with that of ``b``, added up in the order of :func:`dot`."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return total
+
+
+def _norms(a: np.ndarray) -> np.ndarray:
+    return np.sqrt(_sum_of_products(a, a))
 
 
 def cluster(

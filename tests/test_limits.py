@@ -100,3 +100,19 @@ def test_daily_trend(spark, counts, trend, conf):
     rows = [(T0 + timedelta(days=d),) for d, n in enumerate(counts) for _ in range(n)]
     got = limits.daily_trend(spark.createDataFrame(rows, "created_at timestamp")).first()
     assert (got["trend"], got["confidence"]) == (trend, conf)
+
+
+def test_entry_and_requests_meet_in_one_partition(spark):
+    """The shuffle by block is real: Spark must not take the joins' partitions on both sides of the union for it,
+    as adaptive execution may cut or put together those of either side on its own."""
+    rows = [(f"c{i % 5}", 0, i % 3, 10**9, i, T0 + timedelta(seconds=i), i * 10**6) for i in range(60)]
+    cut = spark.createDataFrame(rows, "source string, burst long, _block int, _to long, pos long, ts timestamp, _us long")
+    entries = cut.selectExpr("source", "burst", "_block", "CAST(array() AS array<long>) AS _entry").distinct()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = limits._replay(cut, entries, lambda taken, now: True, lambda taken, now: None, "source", "ts", "pos")
+        assert "REPARTITION_BY_COL" in got._jdf.queryExecution().executedPlan().toString()
+        assert got.where("_exit IS NULL").count() == 60 and got.where("_exit IS NOT NULL").count() == 15
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

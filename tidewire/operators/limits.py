@@ -194,9 +194,13 @@ def _replay(
         F.lit(None).cast("long").alias("_us"), "_entry",
     )
     asked = cut.join(entries.select(*places), places, "left_semi").withColumn("_entry", F.lit(None).cast("array<long>"))
+    # By a hash of its own: for the keys of the joins above, Spark takes their partitions on both sides of the union for
+    # the ones asked for and leaves out the shuffle, but adaptive execution cuts and joins those of each side on its own.
     ordered = (
         asked.unionByName(first)
-        .repartition(*places)
+        .withColumn("_home", F.xxhash64(*places))
+        .repartition("_home")
+        .drop("_home")
         .sortWithinPartitions(*places, F.asc_nulls_first("_us"), tie)
     )
     schema = (

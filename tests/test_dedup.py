@@ -130,6 +130,52 @@ def test_rounds_write_only_what_fell(spark, monkeypatch):
         assert rounds == sorted(rounds, reverse=True) and rounds[1] < 40
 
 
+def test_clusters_read_their_rows_once(spark, monkeypatch):
+    reads, written = [], dedup.cut_lineage
+
+    def seen(df):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD"))
+        return written(df)
+
+    monkeypatch.setattr(dedup, "cut_lineage", seen)
+    rows = frame(spark, [(1, 0, ["a", "b", "a"], True), (1, 1, ["b"], True), (1, 2, ["c"], False), (2, 0, None, False)])
+    got = dedup.cluster_flashpoints(rows).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0), (1, 1, 0)]
+    assert sum(reads) == 1
+
+
+def test_a_column_stands_for_the_texts(spark):
+    rows = frame(spark, [(1, 0, ["a"], True), (1, 1, ["b"], False), (1, 2, ["a", "b"], True), (1, 3, ["c"], True)])
+    empty = rows.withColumn("description", F.when(F.col("pos") != 3, F.col("description")))
+    lean = empty.select("run_id", "pos", "entities", "geo_entities", dedup.has_texts().alias("has_texts"))
+    want = [(1, 0, 0), (1, 2, 0)]
+    assert sorted(map(tuple, dedup.cluster_flashpoints(lean).collect())) == want
+    assert sorted(map(tuple, dedup.cluster_flashpoints(empty).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["dd07_cluster_flashpoints"])
+def test_entities_are_taken_from_whole_texts_once(spark, monkeypatch, tmp_path, name):
+    from tidewire.catalog import QUERIES, dedups
+
+    texts = ["tide river alpha", "tide stone", "river stone", "", None, "market harbour", "harbour NATION tide", "market x"]
+    docs = [(i, None if t is None else f"{t}\nbody {t}", "en", "s", 0) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    nations = [(i, f"NATION_{i}", 0) for i in range(25)]
+    spark.createDataFrame(nations, "n_nationkey long, n_name string, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    plans, written = [], dedup.cut_lineage
+
+    def seen(df):
+        plans.append(df)
+        return written(df)
+
+    monkeypatch.setattr(dedup, "cut_lineage", seen)
+    monkeypatch.setattr(dedups, "cut_lineage", seen, raising=False)
+    got = QUERIES[name](spark, str(tmp_path))
+    words = [df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") for df in [*plans, got]]
+    assert got.count() > 0 and sum(words) == 1
+
+
 def test_components_equal_plain_search(spark):
     rnd = random.Random(5)
     rows = [(r, p, rnd.sample([f"n{i}" for i in range(14)], rnd.randint(0, 2)), True) for r in range(9) for p in range(rnd.randint(1, 14))]

@@ -153,7 +153,7 @@ def test_a_column_stands_for_the_texts(spark):
     assert sorted(map(tuple, dedup.cluster_flashpoints(empty).collect())) == want
 
 
-@pytest.mark.parametrize("name", ["dd07_cluster_flashpoints"])
+@pytest.mark.parametrize("name", ["dd07_cluster_flashpoints", "dd07_merge_flashpoints"])
 def test_entities_are_taken_from_whole_texts_once(spark, monkeypatch, tmp_path, name):
     from tidewire.catalog import QUERIES, dedups
 

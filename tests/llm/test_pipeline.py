@@ -38,6 +38,20 @@ def test_one_document_of_each_group_stays(spark, docs, no_docs, sf):
     assert keep_one_per_class(no_docs).count() == 0
 
 
+def test_texts_are_not_written_again_to_drop_near_duplicates(docs, monkeypatch):
+    from tidewire.llm import simhash
+
+    columns, written = [], simhash.cut_lineage
+
+    def seen(df):
+        columns.extend(df.columns)
+        return written(df)
+
+    monkeypatch.setattr(simhash, "cut_lineage", seen)
+    assert keep_one_per_class(docs).count() > 0
+    assert "_fp" in columns and not {"text", "_doc"} & set(columns)
+
+
 def test_redaction(spark, docs, no_docs):
     texts = [(1, "mail a.b@c.de now 10.0.0.1 end"), (2, "+1 (743) 555-3824"), (3, "no data"), (4, None), (5, ""), (6, "é a@b.co"), (6, "é a@b.co")]
     frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")

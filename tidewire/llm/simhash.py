@@ -157,10 +157,11 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 4) -> DataFrame:
 def keep_one_per_class(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """One row of each near-duplicate class, with the columns of ``docs``: the smallest doc_id, else by text hash.
 
-    Of rows equal in doc_id and text one stays. The rows are written once with their fingerprint; the
-    classes are found on fingerprints, the chosen row of a class is a minimum over small columns, and
-    only then the chosen rows' texts are joined.
+    Of rows equal in doc_id and text one stays. ``docs`` is read twice, so it should be stored rows: its
+    fingerprints are written without the texts; the classes are found on them, the chosen row of a
+    class is a minimum over small columns, and only then the chosen rows' texts are joined.
     """
+    key = ["_no_id", "_id", "_hash"]
     rows = docs.select(
         F.struct("*").alias("_doc"),
         "text",
@@ -168,13 +169,12 @@ def keep_one_per_class(docs: DataFrame, shingle: int = 4) -> DataFrame:
         F.col("doc_id").isNull().alias("_no_id"),
         F.xxhash64("text").alias("_hash"),
     )
-    marked = cut_lineage(with_fingerprint(rows, shingle).drop("text"))
+    marked = cut_lineage(with_fingerprint(rows.select("text", *key), shingle).drop("text"))
     roots = link_fingerprints(cut_lineage(marked.select(F.col("_fp").alias("fp")).distinct()))
-    key = ["_no_id", "_id", "_hash"]
     best = (
         marked.groupBy("_fp").agg(F.min(F.struct(*key)).alias("k"))
         .join(roots, F.col("_fp") == F.col("fp"))
         .groupBy("root").agg(F.min("k").alias("k"))
         .select("k.*")
     )
-    return marked.join(best, key).dropDuplicates(key).select("_doc.*")
+    return rows.drop("text").join(best, key).dropDuplicates(key).select("_doc.*")

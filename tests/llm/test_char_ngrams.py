@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidewire.llm import char_ngrams as cn, ngram_quality as nq
@@ -112,3 +114,28 @@ def test_filter_keeps_every_id(spark):
     kept = {r.doc_id for r in nq.in_filter(docs, ids).collect()}
     assert {r.doc_id for r in ids.collect()} <= kept and len(kept) <= 110 and None not in kept
     assert nq.in_filter(docs, ids.where("1 = 0")).count() == 0
+
+
+def test_scoring_holds_few_arrays_of_a_piece_at_once():
+    rng = np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(97, 123, cn.CHUNK - 100)))
+    lookup = cn.Lookup(rng.integers(0, 2**63, 1000).astype(np.uint64), rng.random(1000))
+    tracemalloc.start()
+    try:
+        cn.score_texts([text], lookup, False)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # Of eight bytes for each character.
+    assert most < 18 * 8 * cn.CHUNK
+
+
+def test_gains_of_a_block_at_a_time_are_those_of_all(monkeypatch):
+    texts = ["to be or not to be", "", "that is the question " * 20, "\U0001f600 caf\u00e9"]
+    found = [g for _, hi, lo, _ in cn._grams(texts[:3]) for g in zip(hi.tolist(), lo.tolist())]
+    hi, lo = np.array(found, np.int64).T
+    lookup = cn.Lookup(cn._hash(hi, lo), np.arange(len(hi), dtype=float) / 7)
+    whole = cn.score_texts(texts, lookup, True)
+    monkeypatch.setattr(cn, "BLOCK", 5)
+    parts = cn.score_texts(texts, lookup, True)
+    assert whole[0].tolist() == parts[0].tolist() and whole[1] == parts[1] and whole[0][0] > 0 and whole[1][3]

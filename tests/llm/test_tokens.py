@@ -9,9 +9,9 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidewire.llm.elias_fano import EliasFano
-from tidewire.llm.packing import pack
+from tidewire.llm.packing import encode_documents, pack
 from tidewire.llm.token_files import Shard, read_token_files, write_token_files
-from tidewire.llm.tokens import PieceEncoder
+from tidewire.llm.tokens import PieceEncoder, encoder
 from tidewire.llm.word_bpe import WordBpe, encode_and_decode
 from tidewire.session import shared_folder
 
@@ -150,3 +150,18 @@ def test_packing_places_every_id_once(spark, docs, no_docs, library, sf, shard_i
             short += end < 256
         assert short <= 8
     assert pack(no_docs, BYTES).count() == 0
+
+
+def test_worker_processes_keep_no_pieces_after_packing(spark, docs):
+    import pandas as pd
+
+    path = str(BYTES)
+    encode_documents(docs, shared_folder(spark, "pieces"), path)
+
+    def kept(batches):
+        for batch in batches:
+            # An encoder that is there already is the one that encoded here.
+            n = len(encoder(path).pieces) if encoder.cache_info().currsize else 0
+            yield pd.DataFrame({"n": [n] * len(batch)})
+
+    assert {r.n for r in spark.range(0, 64, 1, 8).mapInPandas(kept, "n long").collect()} == {0}

@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewire.llm.tokens import give_back
 from tidewire.session import cut_lineage
 
 #: Characters of an n-gram; bits of a character; what stands before and after a text (code points follow).
 ORDER, BITS, BEGIN, END, FIRST = 5, 21, 1, 2, 3
 #: N-grams of the model that all tasks hold: the commonest ones, at most so many. The others are joined by key.
 HEAD = 1 << 21
-#: Characters worked on together.
-CHUNK = 1 << 19
+#: Characters worked on together; n-grams looked up together.
+CHUNK, BLOCK = 1 << 19, 1 << 16
 _ONE, _TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 
 
@@ -58,15 +59,20 @@ def _distinct(codes: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield from _distinct(codes, at[: len(at) // 2])
         yield from _distinct(codes, at[len(at) // 2 :])
         return
-    number = np.zeros(len(present), np.int64)
+    number = np.zeros(len(present), np.int16)
     number[alphabet] = np.arange(len(alphabet))
-    local, rel = number[here], at - low
+    local, rel = number[here], at - int(at[0])
     key = np.zeros(len(at), np.int64)
     for k in range(ORDER):
-        key = key << 12 | local[rel - ORDER + 1 + k]
+        key <<= 12
+        key |= local[rel + k]
+    del here, present, number, local, rel
     key, which = np.unique(key, return_inverse=True)
     c = [alphabet[key >> 12 * (ORDER - 1 - k) & 4095].astype(np.int64) for k in range(ORDER)]
-    yield at, c[0] << BITS | c[1], c[2] << 2 * BITS | c[3] << BITS | c[4], which
+    hi, lo = c[0] << BITS | c[1], c[2] << 2 * BITS | c[3] << BITS | c[4]
+    # What asks for the n-grams needs memory of its own.
+    del key, c
+    yield at, hi, lo, which
 
 
 def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -84,6 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, hi, lo, which in _grams([t for t in batch.column("text").to_pylist() if t]):
             yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(np.bincount(which))], names=["hi", "lo", "c"])
+    give_back()
 
 
 def _shorter(hi: Column, lo: Column, order: int) -> tuple[Column, Column]:
@@ -221,17 +228,25 @@ def _orders(hi: np.ndarray, lo: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
     yield from ((hi, lo), (hi & _ONE, lo), (none, lo), (none, lo & _TWO), (none, lo & _ONE))
 
 
+def _sums(lookup: Lookup, hi: np.ndarray, lo: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The gains of each n-gram's orders together, and where there is ``more`` which orders are not found."""
+    sums, missing = np.zeros(len(hi)), np.zeros((ORDER, len(hi)), bool) if more else None
+    for at in range(0, len(hi), BLOCK):
+        part = slice(at, at + BLOCK)
+        for k, (h, l) in enumerate(_orders(hi[part], lo[part])):
+            gain, found = lookup.find(h, l)
+            sums[part] += gain
+            if more:
+                missing[k, part] = ~found
+    return sums, missing
+
+
 def score_texts(texts: list[str], lookup: Lookup, more: bool) -> tuple[np.ndarray, list[list[dict]]]:
     """Sums of the gains found, per text, and where there is ``more`` the other n-grams of each text with counts."""
     gains = np.zeros(len(texts))
     rest: list[list[dict]] = [[] for _ in texts]
     for owner, hi, lo, which in _grams(texts):
-        sums = np.zeros(len(hi))
-        missing = []
-        for h, l in _orders(hi, lo):
-            gain, found = lookup.find(h, l)
-            sums += gain
-            missing.append(~found)
+        sums, missing = _sums(lookup, hi, lo, more)
         gains += np.bincount(owner, sums[which], len(texts))
         if more:
             pairs, n = np.unique(np.stack([owner, which]), axis=1, return_counts=True)
@@ -262,9 +277,11 @@ def with_surprise(docs: DataFrame, model: CharModel) -> DataFrame:
     shared = model.shared
 
     @F.pandas_udf("struct<gain: double, rest: array<struct<hi: long, lo: long, n: long>>>")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        gains, rest = score_texts(texts.tolist(), shared.value, more)
-        return pd.DataFrame({"gain": gains, "rest": rest})
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            gains, rest = score_texts(texts.tolist(), shared.value, more)
+            yield pd.DataFrame({"gain": gains, "rest": rest})
+        give_back()
 
     whole = F.coalesce("text", F.lit(""))
     places = F.length(whole) + 1

@@ -64,6 +64,9 @@ def encode_documents(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1
             {"kind": ["df"], "doc_id": pd.array([None], dtype="Int64"), "place": [0], "data": [None], "n": [0],
              "slots": [seen.astype(np.int32)], "counts": [counts[seen].astype(np.int32)]}
         )
+        # The worker process outlives the task.
+        enc.forget()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows.mapInPandas(run, _IDS_SCHEMA).write.partitionBy("kind").parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewire.llm.components import min_components
 from tidewire.llm.golay import WORD_BITS, near_codewords
+from tidewire.llm.tokens import give_back
 from tidewire.session import cut_lineage
 
 #: Five blocks of the fingerprint: lowest bit and width. Four errors leave one block without error.
@@ -52,8 +53,10 @@ def with_fingerprint(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """The rows of ``docs`` with _fp, the fingerprint of text as a signed long (null text: empty)."""
 
     @F.pandas_udf("long")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+        give_back()
 
     return docs.withColumn("_fp", prints(F.coalesce("text", F.lit(""))))
 
@@ -92,6 +95,7 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
                         keys.append(key[row, col])
                         owners.append(fp[row])
                 yield pd.DataFrame({"key": np.concatenate(keys), "fp": np.concatenate(owners).view(np.int64)})
+        give_back()
 
     return fps.select("fp").mapInPandas(run, "key long, fp long")
 

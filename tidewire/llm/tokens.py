@@ -12,8 +12,9 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-#: Cached pieces per worker process (about 100 MB); beyond it the cache starts anew.
-CACHE_PIECES = 600_000
+#: Cached pieces per worker process (about 40 MB); beyond it the cache starts anew. More save no time on
+#: the given texts, as the common pieces are soon there again.
+CACHE_PIECES = 200_000
 #: Longer pieces, and texts with special tokens, are left to the tokenizers library.
 LONG_PIECE = 500
 #: Fixed value: how byte-level pre-tokenization cuts text into words.
@@ -67,6 +68,10 @@ class PieceEncoder:
         self.heads: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop the cached pieces."""
+        self.pieces, self.heads = {}, {}
+
     def pack(self, ids) -> bytes:
         return array(self._code, ids).tobytes()
 
@@ -78,7 +83,7 @@ class PieceEncoder:
     def _learn(self, heads: set[str], pieces: set[str]) -> None:
         if len(self.pieces) + len(self.heads) > self.cache_pieces:
             # The texts at hand get all their pieces below; what other texts had may go.
-            self.pieces, self.heads = {}, {}
+            self.forget()
         self.heads.update((h, self._one(h)) for h in heads - self.heads.keys())
         new = pieces - self.pieces.keys()
         odd = {p for p in new if not p or " " in p or len(p) > LONG_PIECE}

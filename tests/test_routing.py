@@ -71,3 +71,41 @@ def test_matches_are_not_shuffled(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Aggregate" not in plan
     assert sorted(map(tuple, got.collect())) == sorted((a, i % 90, f"n{i}") for a in (1, 3, 5) for i in range(100))
+
+
+def _two_tables(spark):
+    rnd = random.Random(3)
+    articles = [
+        (i, rnd.sample(["p", "q"], rnd.randint(0, 2)), rnd.choice(["NATION_1", "NATION_12", "NATION_2"]), rnd.choices(["warfare", "gas", "x"], k=2),
+         rnd.random(), rnd.random(), rnd.choice(["en", "fr", None]))
+        for i in range(40)
+    ]
+    subs = [
+        (i % 50, [None, ["p"]][i % 2], [None, [f"NATION_{i % 3}"]][i // 2 % 2], [[], ["WARF", "as"]][i // 4 % 2], 0.0, [0.0, 0.4][i // 8 % 2], [None, ["en"]][i // 16 % 2], f"n{i}")
+        for i in range(64)
+    ]
+    want = sorted((a[0], s[0], s[7]) for a in articles for s in subs if plain(a, s))
+    return spark.createDataFrame(articles, ARTICLE), spark.createDataFrame(subs, SUBSCRIPTION), want
+
+
+def test_articles_are_not_shuffled(spark):
+    """Whatever Spark's own threshold is, an index of measured small size goes to all tasks."""
+    articles, subs, want = _two_tables(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = fl.route_to_subscribers(articles, subs).select("id", "sub_client", "sub_note")
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_large_index_is_joined_by_key(spark, monkeypatch):
+    """Pieces that no filter stands under are dropped before the join."""
+    articles, subs, want = _two_tables(spark)
+    monkeypatch.setattr(fl, "SHARED", 0)
+    got = fl.route_to_subscribers(articles, subs).select("id", "sub_client", "sub_note")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
+    assert sorted(map(tuple, got.collect())) == want
+    routes = fl.Routes(subs)
+    assert sorted(map(tuple, routes.clients_of(routes.matches(articles)).select("id", "sub_client", "sub_note").collect())) == want

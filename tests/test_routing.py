@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidewire.operators import filters as fl
+from tidewire.streaming import flows
 
 ARTICLE = "id long, categories array<string>, country string, keywords array<string>, relevance double, quality double, language string"
 SUBSCRIPTION = (
@@ -109,3 +110,17 @@ def test_large_index_is_joined_by_key(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want
     routes = fl.Routes(subs)
     assert sorted(map(tuple, routes.clients_of(routes.matches(articles)).select("id", "sub_client", "sub_note").collect())) == want
+
+
+def test_a_kept_sink_has_matches_not_pairs(spark, tmp_path):
+    """A stream writes an article once per filter, however many clients the filter has."""
+    articles, subs, want = _two_tables(spark)
+    articles.write.parquet(f"{tmp_path}/in")
+    many = subs.withColumn("sub", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("sub")
+    routes = fl.Routes(many)
+    stream = spark.readStream.schema(articles.schema).parquet(f"{tmp_path}/in")
+    flows.run_available(flows.routed_updates(stream, routes).select("id", "_filter"), f"{tmp_path}/out", f"{tmp_path}/state")
+    kept = spark.read.parquet(f"{tmp_path}/out")
+    assert kept.count() == kept.distinct().count() <= len(want)
+    got = routes.clients_of(kept).select("id", "sub_client", "sub_note")
+    assert sorted(map(tuple, got.collect())) == sorted(want * 30)

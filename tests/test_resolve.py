@@ -217,3 +217,18 @@ def test_query_history_without_hours(spark):
     got = resolve.query_history(q, h, datetime(2024, 1, 1), hours=None)
     assert sorted(map(tuple, got.collect())) == [(7, 1), (7, 2), (8, 3)]
     assert sorted(map(tuple, resolve.query_history(q, h, datetime(2024, 1, 1)).collect())) == [(8, 3)]
+
+
+def test_query_history_has_no_join(spark, monkeypatch):
+    """Texts meet the queries in place, whatever the number of portions the queries are sent in; equal queries keep all their askers."""
+    rnd = random.Random(4)
+    words = ["ab", "oil", "embargo", "über", "x", "agreement"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    q = [(i % 40, text(rnd.randint(1, 4))) for i in range(50)] + [(41, "go ag"), (42, "ü"), (43, None), (None, "oil")]
+    h = [(i % 30, text(rnd.randint(1, 12)).upper()) for i in range(40)] + [(50, None), (None, "oil")]
+    monkeypatch.setattr(resolve, "SENT", 500)
+    got = resolve.query_history(spark.createDataFrame(q, "qid long, query string"), spark.createDataFrame(h, "hid long, query string"), hours=None)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") > 1
+    want = sorted((i, j) for i, a in q for j, b in h if None not in (i, j, a, b) and a.lower() in b.lower())
+    assert sorted(map(tuple, got.collect())) == want
